@@ -50,12 +50,35 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import secrets
+
+    score = secrets.as_column(secrets.train(secrets.labelled_findings(spark)))
+    return secrets.findings(table(spark, sf_dir, "documents"), score)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import warc
+    from tessera.llm.scratch import new_path
+
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    rows = warc.read(spark, path).where("kind = 'record'")
+    return rows.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
