@@ -50,6 +50,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import secrets
 
@@ -79,10 +85,26 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import passages
+
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-#: Every word of a benchmark item as it stands in a document: what the seeds must find at least. Equal to the operator's
-#: pairs while no passage was altered.
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can say of an operator's whole result.
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             w AS (SELECT page_id, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS first,
+                          unhex(sha1(html)) AS b FROM p)
+        SELECT page_id, n AS payload_bytes,
+               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(substring(CAST(b AS BIT)::VARCHAR, CAST(5 * i + 1 AS BIGINT), 5)::BIT::VARCHAR::BIT AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM w""",
+}
