@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 
-#: Documents in the sample that fits the first tier, and the entries it may have.
-SAMPLE_DOCS, MOST_FREQUENT = 4096, 1 << 16
+#: Documents in the sample that fits the first tier, the most characters of one, and the entries the tier may have.
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_FREQUENT = 2048, 8192, 1 << 16
 #: Entries of a worker's own table before it starts again from the first tier.
 WORKER_ENTRIES = 1 << 20
 #: Longer pre-tokens have no place in the first tier.
@@ -275,34 +275,25 @@ def worker_encoder(path: str, first) -> Encoder:
     return _WORKER[key]
 
 
-def frequent(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_DOCS, most: int = MOST_FREQUENT) -> dict:
-    """The first tier: the ids of the most frequent pre-tokens of at most ``sample`` documents, packed for a broadcast."""
+def frequent(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_DOCS, longest: int = SAMPLE_CHARS, most: int = MOST_FREQUENT) -> dict:
+    """The first tier: the ids of the most frequent pre-tokens of the first ``sample`` documents of at most ``longest`` characters, packed for a broadcast.
 
-    def count(batches):
-        seen: dict[int, list] = {}
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                for _, split in Encoder.splits([x or "" for x in part.column(0).to_pylist()]):
-                    keys, at, n = np.unique(split.hashes, return_index=True, return_counts=True)
-                    for h, i, c in zip(keys.tolist(), at.tolist(), n.tolist(), strict=True):
-                        if h in seen:
-                            seen[h][1] += c
-                        elif split.is_whole is None or not split.is_whole[i]:
-                            if split.ends[i] - split.starts[i] <= LONGEST_KEPT:
-                                seen[h] = [split.text(i)[0], c]
-                if len(seen) > 8 * most:
-                    seen = dict(sorted(seen.items(), key=lambda x: -x[1][1])[: 2 * most])
-        top = sorted(seen.items(), key=lambda x: (-x[1][1], x[0]))[:most]
-        if top:
-            encoder = Encoder(path)
-            table = Table(1 << 12)
-            table.put(np.array([k for k, _ in top], np.uint64), [encoder.one(v[0], False) for _, v in top])
-            yield pa.RecordBatch.from_pylist([table.packed()])
-
-    tables = docs.select(F.col(text).alias("text")).limit(sample).mapInArrow(count, "keys binary, starts binary, flat binary").collect()
-    if not tables:
-        return {"keys": b"", "starts": np.zeros(1, np.uint32).tobytes(), "flat": b""}
-    return max((x.asDict() for x in tables), key=lambda x: len(x["keys"]))
+    The sample is read from as few partitions as hold it, and has a fixed bound; which documents it holds changes no count.
+    """
+    rows = docs.select(F.col(text).alias("text")).where(F.length("text") <= longest).limit(sample).collect()
+    seen: dict[int, list] = {}
+    for _, split in Encoder.splits([r["text"] for r in rows]):
+        keys, at, n = np.unique(split.hashes, return_index=True, return_counts=True)
+        for h, i, c in zip(keys.tolist(), at.tolist(), n.tolist(), strict=True):
+            if h in seen:
+                seen[h][1] += c
+            elif (split.is_whole is None or not split.is_whole[i]) and split.ends[i] - split.starts[i] <= LONGEST_KEPT:
+                seen[h] = [split.text(i)[0], c]
+    top = sorted(((h, v) for h, v in seen.items() if v[1] > 1), key=lambda x: (-x[1][1], x[0]))[:most]
+    encoder, table = Encoder(path), Table(1 << 12)
+    if top:
+        table.put(np.array([k for k, _ in top], np.uint64), [encoder.one(v[0], False) for _, v in top])
+    return table.packed()
 
 
 def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
