@@ -111,8 +111,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, id: str = "doc_id", text: str
                 inside = hits + 1 < bounds[doc_of + 1] if len(hits) else np.empty(0, bool)  # not across two texts
                 hits, doc_of = hits[inside], doc_of[inside]
                 docs_hit, first = np.unique(doc_of, return_index=True)
-                rows = []
-                for d, a, b in zip(docs_hit.tolist(), first.tolist(), [*first[1:].tolist(), len(hits)], strict=True):
+                rows, ends = [], [*first.tolist(), len(hits)]
+                for d, a, b in zip(docs_hit.tolist(), ends[:-1], ends[1:], strict=True):
                     places, values = (hits[a:b] - bounds[d]).tolist(), grams[hits[a:b]].tolist()
                     found: dict[str, tuple] = {}
                     for t, name in enumerate(own.names):

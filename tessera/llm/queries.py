@@ -100,10 +100,10 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              w AS (SELECT page_id, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS first,
-                          unhex(sha1(html)) AS b FROM p)
+                          list_transform(range(8), lambda i: CAST('0x' || substr(sha1(html), CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS g FROM p)
         SELECT page_id, n AS payload_bytes,
-               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                   CAST(substring(CAST(b AS BIT)::VARCHAR, CAST(5 * i + 1 AS BIGINT), 5)::BIT::VARCHAR::BIT AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((g[i // 4 + 1] >> CAST(5 * (3 - i % 4) AS INTEGER)) % 32 + 1 AS INTEGER), 1)), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM w""",

@@ -18,12 +18,17 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import written
+
 #: Records in an archive file at most; a file is read by one task.
 RECORDS = 2048
+#: Slots of the bit table that tells payloads that certainly are single. More shared payloads only make it let more through.
+BITS = 1 << 22
 END = b"\r\n\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -49,10 +54,20 @@ def write(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url",
     """
     rows = pages.select(F.col(id).alias("id"), F.regexp_replace(F.col(url), r"[\x00-\x20\x7f]", "%20").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
-    # counted by (digest, id) before the shuffle; the join's skewed keys are split by adaptive execution
-    first = rows.groupBy("digest").agg(F.max("id").alias("first"))
-    rows = rows.join(first, "digest")
-    response = F.col("id").eqNullSafe(F.col("first"))
+    # equal payloads are counted before the shuffle; what is shared is a small table
+    many = written(rows.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("shared")), "shared-payloads")
+    # payloads that certainly are single stay where they are; only the others (a few single ones too) are joined, by a
+    # shuffle whose skewed keys adaptive execution splits
+    place = F.pmod(F.xxhash64("digest"), F.lit(BITS))
+    bits = np.zeros(BITS, bool)
+    bits[many.select(place.cast("int").alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = True
+    byte = F.conv(F.hex(F.substring(F.lit(np.packbits(bits).tobytes()), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.expr("shiftright(__byte, 7 - cast(__place % 8 as int))").bitwiseAND(1) == 1
+    rows = rows.withColumns({"__place": place, "__byte": byte})
+    columns = ["id", "url", "payload", "digest", "first", "shared"]
+    single = rows.where(~maybe).withColumns({"first": F.col("id"), "shared": F.lit(None).cast("boolean")}).select(columns)
+    rows = rows.where(maybe).join(many, "digest", "left").select(columns).unionByName(single)
+    response = F.col("shared").isNull() | F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(response, F.col("payload")).otherwise(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
