@@ -32,7 +32,6 @@ BITS = 1 << 22
 END = b"\r\n\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
-_LINE = re.compile(rb"\n(WARC/1\.[01]\r?\n)")
 
 
 def base32_sha1(value: Column) -> Column:
@@ -95,7 +94,10 @@ def _record(data: bytes, at: int, need_end: bool) -> tuple[dict, int] | str:
         name, colon, value = x.partition(b":")
         if not colon:
             return "a header line has no colon"
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("latin-1")
+        if name in head and name != "warc-concurrent-to":
+            return "a header field repeats"  # a header that was cut off and runs into the next one
+        head[name] = value.strip().decode("utf-8", "replace")
     size = head.get("content-length", "")
     if not (size.isascii() and size.isdigit()) or "warc-type" not in head:
         return "a needed header is missing"
@@ -151,8 +153,8 @@ def records(data: bytes) -> Iterator[dict]:
             found = _record(data, at, True)
         if isinstance(found, str):
             bad = bad or (at, found)
-            line, gz = _LINE.search(data, at), data.find(b"\x1f\x8b\x08", at + 1)
-            at = min((x for x in (line.start(1) if line else -1, gz) if x > at), default=len(data))
+            line, gz = _VERSION.search(data, at + 1), data.find(b"\x1f\x8b\x08", at + 1)
+            at = min((x for x in (line.start() if line else -1, gz) if x > at), default=len(data))
             continue
         if bad:
             yield {"kind": "gap", "offset": bad[0], "length": at - bad[0], "reason": bad[1]}
