@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.coerce import js_number, rounded4
-from tessera.operators.predicates import TypedFields, matches
+from tessera.functions.coerce import js_number, number_of_text, rounded4
+from tessera.operators.predicates import DocumentFields, TypedFields, matches
 
 
 @dataclass(frozen=True)
@@ -91,3 +91,24 @@ def aggregate(df: DataFrame, spec: Aggregate, *, order: str | None = None) -> tu
     elif spec.limit and spec.limit > 0:
         groups = groups.limit(spec.limit)
     return groups, totals
+
+
+def aggregate_documents(df: DataFrame, document: str, spec: Aggregate, *, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``aggregate`` of records in a VARIANT column. Keys come as JSON text (``1`` and ``"1"`` are two groups; null without the field, ``null`` where it is null).
+
+    A field that a record lacks adds nothing to a metric, an explicit null counts as 0.
+    """
+    fields = DocumentFields(document)
+    rows = df.where(matches(fields, spec.where)) if spec.where else df
+
+    def number(name: str) -> Column:
+        v = fields.value(name)
+        c = v.by_kind
+        known = F.coalesce(c["number"], number_of_text(c["string"]), c["boolean"].cast("int").cast("double"))
+        return F.when(v.exists & v.empty, F.lit(0.0)).otherwise(F.coalesce(known, F.lit(float("nan"))))
+
+    keys = [F.to_json(fields.raw(k)).alias(k) for k in spec.group_by]
+    numbers = {f"__{i}": number(m.field) for i, m in enumerate(spec.metrics) if m.field is not None}
+    flat = rows.select(*keys, *(c.alias(n) for n, c in numbers.items()), *([F.col(order).alias("__order")] if order else []))
+    metrics = tuple(replace(m, field=f"__{i}") if m.field is not None else m for i, m in enumerate(spec.metrics))
+    return aggregate(flat, replace(spec, metrics=metrics, where=None), order="__order" if order else None)

@@ -126,10 +126,17 @@ class DocumentFields:
     def __init__(self, column: str):
         self.column = column
 
-    def value(self, name: str) -> Value:
+    def _at(self, name: str, kind: str) -> Column:
         path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        at = lambda kind: F.try_variant_get(F.col(self.column), path, kind)
-        raw = at("variant")
+        return F.try_variant_get(F.col(self.column), path, kind)
+
+    def raw(self, name: str) -> Column:
+        """The field as VARIANT, null where a record lacks it."""
+        return self._at(name, "variant")
+
+    def value(self, name: str) -> Value:
+        at = lambda kind: self._at(name, kind)
+        raw = self.raw(name)
         shape = F.schema_of_variant(raw)
         own = {
             "number": F.when(shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), at("double")),

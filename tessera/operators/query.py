@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.aggregate import Aggregate, aggregate
+from tessera.operators.aggregate import Aggregate, aggregate, aggregate_documents
 from tessera.operators.predicates import Clauses, DocumentFields, TypedFields, matches
 
 _MOST = 2**53 - 1
@@ -85,6 +85,8 @@ class Table:
         return Builder(self)
 
     def aggregate(self, spec: Aggregate) -> tuple[DataFrame, DataFrame]:
+        if self.document:
+            return aggregate_documents(self.df, self.document, spec, order=self.order)
         return aggregate(self.df, spec, order=self.order)
 
     # changes: each gives a new table, the old one stays as it is

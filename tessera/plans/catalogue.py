@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tessera.operators.aggregate import Aggregate, Metric
 from tessera.operators.predicates import MISSING, Clauses
 from tessera.operators.query import Options, Table
 from tessera.sources import blobs, snapshots
+from tessera.streaming import events
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -383,6 +385,130 @@ def blob_stats(spark, sf_dir):
     return blobs.stats(blobs.addressed(_read(spark, sf_dir, "documents"), "text"))
 
 
+# documents, changes by key, expiry, differences
+
+
+@query("""SELECT json_extract(props, '$.k')::VARCHAR AS k, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS total, count(*) AS record_count
+          FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) < 90 GROUP BY 1 HAVING count(*) >= 2""")
+def agg_document(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("doc"))
+    spec = Aggregate((Metric("n", "count"), Metric("total", "sum", "k")), ("k",), {"k": {"$lt": 90}}, having={"count": {"$gte": 2}})
+    return Table(events, "event_id", document="doc").aggregate(spec)[0]
+
+
+_ANY = """CASE event_id % 5 WHEN 0 THEN CAST(event_id % 11 AS STRING) WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN 'true' WHEN 3 THEN 'null' ELSE '{"a": 1}' END"""
+
+
+@query("""SELECT event_id FROM events ORDER BY CASE event_id % 5 WHEN 3 THEN 0 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 4 END DESC,
+          CASE WHEN event_id % 5 = 0 THEN event_id % 11 END, CASE WHEN event_id % 5 = 1 THEN event_type END, event_id LIMIT 700""")
+def sql_order_any(spark, sf_dir):
+    rank, number, flag, text_ = tv.variant_order(F.parse_json(F.expr(_ANY)))
+    return _read(spark, sf_dir, "events").orderBy(rank.desc(), number, flag, text_, "event_id").limit(700).select("event_id")
+
+
+@query("SELECT CAST(sum((length(p_name) + 1) * 7) AS BIGINT) AS cells FROM part")
+def sql_like_work(spark, sf_dir):
+    return _read(spark, sf_dir, "part").agg(F.sum(tv.like_cells(F.col("p_name"), "%cold%")).alias("cells"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'second' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey + 200 ELSE n_nationkey END AS seq FROM nation UNION ALL SELECT n_nationkey + 1000, 'second', n_nationkey + 200 FROM nation")
+def dml_upsert_view(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    table = Table(nation.select("n_nationkey", "n_name", F.col("n_nationkey").alias("seq")), "n_nationkey", "seq")
+    keys = nation.where("n_regionkey = 1").select("n_nationkey", F.col("n_nationkey").alias("k")).union(nation.select(F.col("n_nationkey") + 1000, "n_nationkey"))
+    rows = [keys.select("n_nationkey", F.lit(name).alias("n_name"), (F.col("k") + add).alias("seq")) for name, add in (("first", 100), ("second", 200))]
+    return table.put_many(rows[0].union(rows[1])).df
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def dml_delete_keys(spark, sf_dir):
+    returned = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return Table(_read(spark, sf_dir, "orders"), "o_orderkey").delete_many(returned).df.select("o_orderkey")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 'SWAPPED' ELSE n_name END AS n_name FROM nation")
+def dml_swap_if(spark, sf_dir):
+    table = Table(_read(spark, sf_dir, "nation"), "n_nationkey")
+    done, table = table.swap_if(7, {"n_regionkey": {"$gte": 0}}, {"n_name": "SWAPPED"})
+    refused, table = table.swap_if(7, {"n_name": "no such name"}, {"n_name": "LOST"})
+    if not done or refused:
+        raise AssertionError("a swap that must happen did not, or the other way round")
+    return table.df.select("n_nationkey", "n_name")
+
+
+@query(f"SELECT event_id, 'EXPIRE' AS op FROM events WHERE {_EXPIRY} <= 100")
+def ttl_expire_events(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", F.expr(_EXPIRY).alias("expires_at"))
+    return changelog.expired_events(rows, F.lit(100)).select("event_id", "op")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment || '!' END AS segment, CASE WHEN c_custkey % 15 = 0 THEN CAST(c_nationkey + 1 AS VARCHAR) END AS nation
+          FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 15 = 0""")
+def table_diff(spark, sf_dir):
+    before = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_name")
+    after = before.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, F.concat("c_mktsegment", F.lit("!"))).otherwise(F.col("c_mktsegment")))
+    after = after.withColumn("c_nationkey", F.when(F.col("c_custkey") % 15 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    diff = F.col("diff")
+    return coerce.row_diff(before, after, "c_custkey").select("c_custkey", diff["c_mktsegment"]["new"].alias("segment"), diff["c_nationkey"]["new"].alias("nation"))
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0")
+def blob_quarantine(spark, sf_dir):
+    stored = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
+    stored = stored.withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.sha2("content", 256)))
+    return blobs.verified(stored)[1].select("doc_id")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN text ELSE trim(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9)) END AS text FROM conversations""")
+def blocks_normalise(spark, sf_dir):
+    """Turns as one structured block each: text, unsigned thinking, and signed thinking, which is left alone."""
+    kind = F.element_at(F.array(F.lit("text"), F.lit("thinking"), F.lit("thinking")), (F.col("turn") % 3 + 1).cast("int"))
+    block = F.struct(kind.alias("type"), F.col("text"), F.when(F.col("turn") % 3 == 2, F.lit("signed")).alias("signature"))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalise_blocks(F.array(block)).alias("b"))
+    return rows.select("conv_id", "turn", F.col("b")[0]["text"].alias("text"))
+
+
+@query("SELECT 'region' AS \"table\", count(*) AS rows, 2 AS columns FROM region UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'orders', count(*), 6 FROM orders")
+def table_health(spark, sf_dir):
+    return snapshots.health({n: _read(spark, sf_dir, n) for n in ("region", "nation", "orders")})
+
+
+@query("SELECT 'one' AS label, 'nation' AS \"table\", count(*) AS rows FROM nation UNION ALL SELECT 'two', 'nation', count(*) FROM nation UNION ALL SELECT 'two', 'region', count(*) FROM region")
+def snapshot_list(spark, sf_dir):
+    folder = f"{snapshots.shared_folder(spark)}/{uuid.uuid4().hex}"
+    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    snapshots.save({"nation": nation}, folder, "one")
+    snapshots.save({"nation": nation, "region": region}, folder, "two")
+    return snapshots.listed(spark, folder).select("label", F.explode("tables").alias("table", "rows"))
+
+
+# streams
+
+
+def _stream(spark: SparkSession, sf_dir: str, where: dict | None = None) -> tuple[DataFrame, str]:
+    """The frames as JSON files in a shared folder, read as a stream; and the folder."""
+    folder = f"{snapshots.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _frames(spark, sf_dir).write.json(f"{folder}/frames")
+    return events.stream(spark, f"{folder}/frames", where), folder
+
+
+@query(f"""SELECT frame_id, op FROM ({_FRAMES}) WHERE op = 'CLEAR' OR CAST(json_extract_string(payload, '$.k') AS BIGINT) > 50""")
+def stream_changes(spark, sf_dir):
+    """Change events filtered by their record; CLEAR is always delivered."""
+    rows, folder = _stream(spark, sf_dir, {"k": {"$gt": 50}})
+    events.written(rows.select("frame_id", "op"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("frame_id long, op string").parquet(f"{folder}/out")
+
+
+@query(f"""SELECT "table", "key", max(frame_id) AS frame_id, arg_max(op, frame_id) AS op, arg_max(payload, frame_id) AS payload FROM ({_FRAMES}) WHERE op <> 'CLEAR' GROUP BY ALL""")
+def stream_current(spark, sf_dir):
+    """The last write of every key, kept by a streaming aggregate."""
+    rows, folder = _stream(spark, sf_dir)
+    now = events.current(rows)
+    events.written(now, f"{folder}/out", f"{folder}/checkpoint", mode="complete")
+    return spark.read.schema(now.schema).parquet(f"{folder}/out")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

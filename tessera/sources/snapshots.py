@@ -52,6 +52,13 @@ def manifest(spark: SparkSession, folder: str, id_: str) -> dict:
         raise SnapshotIntegrityError(f"no manifest: {id_}") from e
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots of a folder: id, label, and a map from table to its rows. A snapshot without a manifest was not finished and is not listed."""
+    said = F.from_json("value", "id string, label string, tables map<string, struct<rows: long, hash: string>>")
+    rows = spark.read.text(f"{folder}/*/manifest").select(said.alias("m"))
+    return rows.select("m.id", "m.label", F.transform_values("m.tables", lambda _, t: t["rows"]).alias("tables"))
+
+
 def load(spark: SparkSession, folder: str, id_: str) -> dict[str, DataFrame]:
     """The tables of a snapshot, each checked against the manifest."""
     out = {}

@@ -25,3 +25,19 @@ def subscribe(events: DataFrame, callback: Callable[[DataFrame, int], None], che
     """Calls ``callback(batch, number)`` for every micro-batch; each is delivered at least once, with the same number if again."""
     writer = events.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def current(events: DataFrame) -> DataFrame:
+    """The last write of every key so far, as a streaming aggregate: table, key, frame_id, op, payload. Spark's state holds one row for each key; deletes stay as such."""
+    writes = events.where(F.col("op").isin("INSERT", "UPDATE", "DELETE"))
+    last = writes.groupBy("table", "key").agg(F.max(F.struct("frame_id", "op", "payload")).alias("w"))
+    return last.select("table", "key", "w.frame_id", "w.op", "w.payload")
+
+
+def written(events: DataFrame, table: str, checkpoint: str, *, mode: str = "append") -> None:
+    """Runs ``events`` over what has come so far into a Parquet table, exactly once; ``mode`` complete (for ``current``) writes it anew with every micro-batch."""
+    if mode == "append":
+        events.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return
+    whole = lambda batch, _: batch.write.mode("overwrite").parquet(table)
+    events.writeStream.outputMode(mode).foreachBatch(whole).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

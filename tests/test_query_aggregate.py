@@ -87,3 +87,14 @@ def test_documents(spark):
     df = spark.createDataFrame([(1, '{"a": 2}'), (2, '{"a": "x"}'), (3, "{}"), (4, '{"a": 1}')], "id long, d string").select("id", F.parse_json("d").alias("doc"))
     t = Table(df, "id", "id", document="doc")
     assert ids(t.query(Options(Clauses({"a": {"$exists": True}}), sort=(("a", "asc"),)))) == [4, 1, 2]
+
+
+def test_documents_tell_absent_from_null(spark):
+    from pyspark.sql import functions as F
+
+    texts = ['{"g": 1, "x": 2}', '{"g": 1, "x": null}', '{"g": "1"}', '{"x": "abc"}', '{"g": null, "x": "0x10"}', '{"g": 1, "x": true}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", F.parse_json("t").alias("doc"))
+    spec = Aggregate((Metric("n", "count"), Metric("total", "sum", "x"), Metric("low", "min", "x")), ("g",))
+    groups, totals = Table(docs, "i", "i", document="doc").aggregate(spec)
+    assert {r.g: (r.n, r.total, r.low) for r in groups.collect()} == {"1": (3, 3.0, 0.0), '"1"': (1, 0.0, 0.0), None: (1, 0.0, 0.0), "null": (1, 16.0, 16.0)}
+    assert [(r.n, r.total) for r in totals.collect()] == [(6, 19.0)]
