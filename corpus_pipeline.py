@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score = secrets.as_column(secrets.train(secrets.labelled_findings(spark)))
-    rows = secrets.with_findings(docs, score, name="__findings").withColumn("text", secrets.redacted(F.col("text"), F.col("__findings")))
+    rows = secrets.redacted(docs, score)
     rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
     return rows.select(*docs.columns)
 

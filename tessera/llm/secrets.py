@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 KEYWORDS = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential"
 PATTERN = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,4000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?<=(?i:(?:{KEYWORDS}))[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_=!@#$%^&*~.-]{{8,512}}"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,512}"
+    # the first two looks behind follow from the third and are cheap
+    rf"|(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<=(?i:(?:{KEYWORDS}))[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_=!@#$%^&*~.-]{{8,512}}"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}+[0-9])[A-Za-z0-9+/_=-]{16,512}"
 )
 #: Words that speak for and against a secret in the text around, and words that make a value a placeholder or a name.
 NEAR_GOOD, NEAR_BAD = rf"(?i){KEYWORDS}|bearer|signing", r"(?i)example|sample|dummy|placeholder|test|fake|sha1|sha256|md5|checksum|commit|digest|hash|uuid|guid|version|card|phone|order|invoice|isbn"
 DICTIONARY = "example|sample|changeme|change|placeholder|password|secret|token|your|here|test|dummy|fake|insert|replace|default|user|admin|none|null|true|false|value|string|name|file|path|this|that|with|from|have|http|www|com|version|config|xxxx|0000|1234|abcd"
 PATH_BAD = r"(?i)test|example|sample|fixture|mock|doc|readme"
 FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "distinct", "dictionary", "placeholder", "prefixed", "assigned", "quoted", "near_good", "near_bad", "path_bad", "key_block"]
-BEFORE, AFTER = 48, 24
+BEFORE, AFTER, CHUNK = 48, 24, 256
 THRESHOLD = 0.5
 
 
@@ -57,26 +58,60 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
     )
 
 
-def candidates(text: Column, path: Column) -> Column:
-    """An array of (start, value, x): place in characters from 0, the candidate, its features. A null text gives an empty array."""
-    # marks that keep lengths: a U+0001 or U+0002 of the text itself becomes a space
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def marked(text: Column) -> Column:
+    """``text`` cut at its candidates: an array of text and candidate in turn, text first and last; each candidate begins with U+0002.
+
+    A U+0001 or U+0002 of the text itself becomes a space, so that places stay. A null text is an empty one.
+    """
     clean = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  ")
-    parts = F.split(F.regexp_replace(clean, f"({PATTERN})", "\x01\x02$1\x01"), "\x01")
-    sized = F.transform(parts, lambda p: F.struct(p.alias("p"), F.length(p).alias("n"), p.startswith("\x02").alias("hit")))
-    placed = F.when(
-        F.exists(sized, lambda s: s["hit"]),
-        F.transform(
-            F.filter(F.transform(sized, lambda s, i: F.struct(s["p"].alias("p"), s["hit"].alias("hit"), i.alias("i"))), lambda s: s["hit"]),
-            lambda s: F.struct(
-                F.aggregate(F.slice(sized, 1, s["i"]), F.lit(0), lambda acc, q: acc + q["n"] - F.when(q["hit"], 1).otherwise(0)).alias("start"),
-                F.substring(s["p"], 2, 1 << 30).alias("value"),
-                F.coalesce(F.expr("null"), F.right(F.get(sized, s["i"] - 1)["p"], F.lit(BEFORE))).alias("before"),
-                F.coalesce(F.left(F.get(sized, s["i"] + 1)["p"], F.lit(AFTER)), F.lit("")).alias("after"),
+    return F.split(F.regexp_replace(clean, f"({PATTERN})", "\x01\x02$1\x01"), "\x01")
+
+
+def _running(sizes: Column) -> Column:
+    """For each element the sum of those before it. Takes time with the square of the array's length: for short arrays."""
+    begin = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(sizes, begin, lambda acc, n: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + n).alias("at")), lambda acc: acc["out"])
+
+
+def placed(parts: Column) -> Column:
+    """The candidates of ``marked`` parts: an array of (start, value, before, after).
+
+    Parts are taken in chunks of ``CHUNK`` candidates, with the running length of chunks and, within one, of parts: time
+    grows with the text, also where a text has very many candidates.
+    """
+    hits = ((F.size(parts) - 1) / 2).cast("int")
+    count = F.ceil(hits / F.lit(CHUNK)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(parts, c * (2 * CHUNK) + 1, F.lit(2 * CHUNK + 1)))
+    # characters of a full chunk: without its last part, which begins the next, and without the candidates' marks
+    length = lambda chunk: F.aggregate(F.slice(chunk, 1, 2 * CHUNK), F.lit(-CHUNK).cast("long"), lambda acc, p: acc + F.length(p))
+
+    def one(chunk: Column, base: Column) -> Column:
+        inner = F.sequence(F.lit(0), ((F.size(chunk) - 1) / 2).cast("int") - 1)
+        found = lambda at: F.transform(
+            inner,
+            lambda i: F.struct(
+                (base + at[i * 2 + 1] - i).cast("int").alias("start"),
+                F.substring(chunk[i * 2 + 1], 2, 1 << 30).alias("value"),
+                F.right(chunk[i * 2], F.lit(BEFORE)).alias("before"),
+                F.left(chunk[i * 2 + 2], F.lit(AFTER)).alias("after"),
             ),
-        ),
-    ).otherwise(F.array().cast("array<struct<start:int,value:string,before:string,after:string>>"))
+        )
+        return let(_running(F.transform(chunk, lambda p: F.length(p).cast("long"))), found)
+
+    whole = let(chunks, lambda cs: let(_running(F.transform(cs, length)), lambda bases: F.flatten(F.transform(cs, lambda chunk, c: one(chunk, bases[c])))))
+    return F.when(hits > 0, whole).otherwise(F.array().cast("array<struct<start:int,value:string,before:string,after:string>>"))
+
+
+def scored(parts: Column, path: Column, score) -> Column:
+    """The candidates of ``marked`` parts with their probability: an array of (start, length, value, probability)."""
     where = F.coalesce(path, F.lit(""))
-    return F.transform(placed, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), features(c["value"], F.coalesce(c["before"], F.lit("")), c["after"], where).alias("x")))
+    known = F.transform(placed(parts), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), features(c["value"], c["before"], c["after"], where).alias("x")))
+    return F.transform(known, lambda c: F.struct(c["start"].alias("start"), F.length(c["value"]).alias("length"), c["value"].alias("value"), score(c["x"]).alias("probability")))
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -133,28 +168,33 @@ def as_column(model):
     return lambda x: reduce(lambda a, b: a + b, (tree(r, x) for r in roots)) / F.lit(float(len(roots)))
 
 
+def _source(path: str | None) -> Column:
+    return F.col(path) if path else F.lit("")
+
+
 def with_findings(docs: DataFrame, score, *, text: str = "text", path: str | None = "source", name: str = "findings") -> DataFrame:
     """``docs`` with an array column of (start, length, value, probability) for every candidate, secrets or not.
 
     A null or empty text has an empty array, a null path is an empty one; rows, their order and other columns stay, except
     that a column called ``name`` is replaced. Candidates do not overlap; ties do not arise.
     """
-    found = candidates(F.col(text), F.col(path) if path else F.lit(""))
-    scored = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.length(c["value"]).alias("length"), c["value"].alias("value"), score(c["x"]).alias("probability")))
-    return docs.withColumn(name, scored)
+    return docs.withColumn(name, let(marked(F.col(text)), lambda parts: scored(parts, _source(path), score)))
 
 
 def findings(docs: DataFrame, score, *, id: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: ``id``, start, length (characters), value_sha256, probability, is_secret. Documents without candidates give none; repeated rows give theirs each."""
-    keep = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), (F.col(path) if path else F.lit("")).alias("path"))
-    rows = with_findings(keep, score, text="text", path="path").select("id", F.explode("findings").alias("f"))
+    # exploded as an expression: of a column, Spark would infer a filter on its size and evaluate it twice
+    found = let(marked(F.col(text)), lambda parts: scored(parts, _source(path), score))
+    rows = docs.select(F.col(id).alias("id"), F.explode(found).alias("f"))
     return rows.select(F.col("id").alias(id), F.col("f.start").cast("long").alias("start"), F.col("f.length").cast("long").alias("length"), F.sha2(F.col("f.value").cast("binary"), 256).alias("value_sha256"), F.round("f.probability", 9).alias("probability"), (F.col("f.probability") > threshold).alias("is_secret"))
 
 
-def redacted(text: Column, found: Column, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> Column:
-    """``text`` with every finding above the threshold replaced by ``mark``; a text without any is unchanged."""
-    secrets = F.filter(found, lambda f: f["probability"] > threshold)
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, f: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit(mark)).alias("out"), (f["start"] + f["length"]).alias("at"))
-    joined = F.aggregate(secrets, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(secrets) > 0, joined).otherwise(text)
+def redacted(docs: DataFrame, score, *, text: str = "text", path: str | None = "source", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark``. A text without any, or null, is unchanged; in one with a secret U+0001 and U+0002 become spaces."""
+
+    def joined(parts: Column, found: Column) -> Column:
+        part = lambda p, i: F.when(i % 2 == 0, p).when(found[((i - 1) / 2).cast("int")]["probability"] > threshold, F.lit(mark)).otherwise(F.substring(p, 2, 1 << 30))
+        return F.when(F.exists(found, lambda f: f["probability"] > threshold), F.array_join(F.transform(parts, part), ""))
+
+    changed = let(marked(F.col(text)), lambda parts: let(scored(parts, _source(path), score), lambda found: joined(parts, found)))
+    return docs.withColumn(text, F.coalesce(changed, F.col(text)))

@@ -144,11 +144,34 @@ def test_findings_and_redaction(spark, score):
             assert sum(r.is_secret for r in own) == n, (i, own)
         for r in own:
             assert r.value_sha256 == hashlib.sha256(t[r.start : r.start + r.length].replace("\x01", " ").replace("\x02", " ").encode()).hexdigest()
-    clean = {r.doc_id: r.clean for r in secrets.with_findings(df, score).select("doc_id", secrets.redacted(F.col("text"), F.col("findings")).alias("clean")).collect()}
+    clean = {r.doc_id: r.clean for r in secrets.redacted(df, score).select("doc_id", F.col("text").alias("clean")).collect()}
     assert clean[1] == 'some words token = "[SECRET]" and more' and clean[8] == 'token = "[SECRET]" token = "[SECRET]"'
     assert [clean[i] for i in (3, 4, 6, 7)] == [texts[i - 1][1] for i in (3, 4, 6, 7)] and key not in clean[5]
 
 
+def test_candidates_equal_a_plain_search(spark, score):
+    import random
+
+    import regex
+
+    rng = random.Random(8)
+    pieces = ["token = ", "word ", "abcdefgh12345678 ", '"', ": ", "api_key=", "x9" * 12, "\n", "password: hunter2x9 ", "é😀 ", "a" * 300 + "1", "z" * 30, " 1234567890123456,", "-----BEGIN RSA PRIVATE KEY-----\nab12\n-----END RSA PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(pieces) for _ in range(n)) for n in (*[rng.randint(0, 60) for _ in range(60)], 600, 6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    found = {r.doc_id: r.findings for r in secrets.with_findings(df, score).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redacted(df, score).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), len(m[0]), m[0]) for m in regex.finditer(secrets.PATTERN, t)]
+        assert [(f.start, f.length, f.value) for f in found[i]] == want
+        out, at = [], 0
+        for f in found[i]:
+            if f.probability > 0.5:
+                out += [t[at : f.start], "[SECRET]"]
+                at = f.start + f.length
+        assert clean[i] == "".join([*out, t[at:]])
+    assert max(map(len, found.values())) > 4 * secrets.CHUNK and any(len(f) % secrets.CHUNK == 0 for f in found.values())
+
+
 def test_secrets_run_no_python_and_take_odd_rows(odd, empty, score):
     got = secrets.findings(odd, score)
     plan = got._jdf.queryExecution().executedPlan().toString()
