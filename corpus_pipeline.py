@@ -31,18 +31,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.where(good).select(*names)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, id and hash of the text, which tells rows apart whose ids are null or repeat."""
+    return docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_duplicates(docs)
-    # the copies that go; rows of one id (equal rows among them) are told apart by the row itself
-    gone = groups.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(docs.columns) if repeated else rows
+    groups = written(jaccard.near_duplicates(keyed(docs), id="__key"), "groups")
+    gone = groups.where("class_id <> __key").select("__key").distinct()
+    rows = keyed(docs).join(gone, "__key", "left_anti")
+    repeated = groups.groupBy("__key").count().where("count > 1").limit(1).count()
+    return (rows.dropDuplicates(["__key"]) if repeated else rows).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(found, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    found = decontam.leaks(keyed(docs), table(spark, sf_dir, "benchmark"), id="__key").select("__key").distinct()
+    return keyed(docs).join(written(found, "leaks"), "__key", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
