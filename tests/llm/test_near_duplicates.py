@@ -158,6 +158,20 @@ def test_passages_of_fifty_words_are_found(spark):
         assert len(a) == len(b) == r.n_words >= 50 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9 and r.similarity >= 0.8
 
 
+def test_a_shared_line_hides_no_passage(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    line = some(27)
+    texts = {i: some(60) + line + some(60) for i in range(150)}
+    for i in range(150, 190, 2):  # pairs with a passage of their own around the line, or that line again and again
+        own = some(12) + line + some(12) if i % 4 else some(30) + line * 3
+        texts[i], texts[i + 1] = some(40) + own + some(50), some(70) + own + some(20)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.rep_doc_id) for r in passages.repeated_passages(df).collect()}
+    assert {tuple(sorted(p)) for p in got} >= {(i, i + 1) for i in range(150, 190, 2)}
+    assert not any(x < 150 for p in got for x in p)
+
+
 def test_passages_odd_rows(odd, empty):
     got = passages.repeated_passages(odd).collect()
     assert {(r.doc_id, r.rep_doc_id) for r in got} <= {(1, 6), (6, 1)} and got and max(r.n_words for r in got) == 119
