@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Candidates: runs of key characters with a digit, or what is assigned to a name that speaks of a secret, or a key block.
+#: Each is whole, whatever its length; possessive, so that time and stack do not follow it.
 KEYWORDS = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential"
 PATTERN = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,4000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    # up to the next five hyphens, whatever lies between: header lines, escaped line ends
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
     # the first two looks behind follow from the third and are cheap
-    rf"|(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<=(?i:(?:{KEYWORDS}))[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_=!@#$%^&*~.-]{{8,512}}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}+[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}"
+    rf"|(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<=(?i:(?:{KEYWORDS}))[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_=!@#$%^&*~.-]{{8,}}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: Words that speak for and against a secret in the text around, and words that make a value a placeholder or a name.
 NEAR_GOOD, NEAR_BAD = rf"(?i){KEYWORDS}|bearer|signing", r"(?i)example|sample|dummy|placeholder|test|fake|sha1|sha256|md5|checksum|commit|digest|hash|uuid|guid|version|card|phone|order|invoice|isbn"
