@@ -1,10 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over ``SPAN`` words: its 1s are compared, its 0s ignored, so a hit survives substituted words at
-the ignored places: of the 120 ways to substitute two words in a stretch of 16, 119 leave a hit (tested). The hashes of
-all benchmark windows under each mask are joined with those of all text windows. Around every hit the two are aligned
-without gaps and the stretch with the best score (+1 for an equal word, ``-MISMATCH`` for a substituted one) is taken; it
-counts as a leak when it has ``MIN_MATCHES`` equal words or ``MIN_SHARE`` of the item's words, and at least ``LEAST``.
+the ignored places. The hashes of all benchmark windows under each mask are joined with those of all text windows. Around
+every hit the two are aligned without gaps and the stretch with the best score (+1 for an equal word, ``-MISMATCH`` for a
+substituted one) is taken; it counts as a leak when it has ``MIN_MATCHES`` equal words or ``MIN_SHARE`` of the item's
+words, and at least ``LEAST``.
+
+No leak is without a hit. The best stretch has a score above 0 from its first word to any other, so its k-th substituted
+word is its (3 k + 1)th word at the earliest: of its first 9 words, which ``LEAST`` says it has, two at most are substituted,
+the first no earlier than the 4th and the second no earlier than the 7th. There is a mask for each such pair.
 
 The benchmark's hashes are counted first. Up to ``MOST_BROADCAST`` of them are broadcast as sorted arrays with the items'
 words, and each task probes its own texts without a shuffle; beyond it the same hashes are joined by a shuffle.
@@ -19,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 
-SPAN = 12
-#: The masks.
-MASKS = ("110110110011", "101011101101", "111001011011", "110101001111")
+SPAN = 9
+#: The masks: all places but two at which a leak's first words may be substituted.
+MASKS = tuple("".join("0" if k in (i, j) else "1" for k in range(SPAN)) for j in range(6, SPAN) for i in range(3, j))
 MISMATCH, MIN_MATCHES, MIN_SHARE, LEAST = 2, 20, 0.6, 9
 MOST_BROADCAST = 4_000_000
 
@@ -109,8 +113,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: st
     """One row per document and benchmark item that overlap: ``id``, item_id, doc_start, item_start, length, matches, item_words.
 
     Positions and lengths are in words; of several overlaps of a pair the one with most equal words is given (ties: the
-    later start). Null or empty texts and items match nothing; an item of fewer than 12 words has no window and matches
-    nothing; repeated documents give a row each, repeated items too. Empty tables give an empty result. Other columns are
+    later start). Null or empty texts and items match nothing; an item of fewer than ``LEAST`` words cannot have that
+    many equal ones and matches nothing; repeated documents give a row each, repeated items too. Empty tables give an empty result. Other columns are
     not read.
     """
     spark = docs.sparkSession

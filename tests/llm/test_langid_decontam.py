@@ -100,6 +100,32 @@ def test_leaks_are_found_and_clean_texts_left(spark, bench, most):
     assert all(r.matches == r.item_words == r.length and r.doc_start == 50 and r.item_start == 0 for r in exact)
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_every_overlap_that_the_verdict_accepts_is_found(spark, most):
+    rng = random.Random(12)
+    sizes = [*range(8, 17), 24, 40]
+    items = [[f"q{rng.randint(0, 10**6)}" for _ in range(n)] for n in sizes for _ in range(8)]
+    docs = []
+    for words in items:
+        for lost in range(min(len(words) // 2, 14)):
+            own = list(words)
+            for k in rng.sample(range(len(own)), lost):
+                own[k] = f"other{k}"
+            docs.append([f"f{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 9))] + own + ["tail"] * rng.randint(0, 3))
+    number = lambda w: np.array([hash(x) & (1 << 62) - 1 for x in w], np.uint64)
+    a, b = [number(w) for w in docs], [number(w) for w in items]
+    want = {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if len(np.intersect1d(x, y)) >= decontam.LEAST:
+                if best := max(filter(None, (decontam.verdict(x, y, s) for s in range(-len(y) + 1, len(x)))), default=None):
+                    want[i, j] = best[0]
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): r.matches for r in decontam.leaks(*frames, most_broadcast=most).collect()}
+    assert got == want
+    assert {len(items[j]) for _, j in want} == set(sizes[1:]) and sum(len(items[j]) < 12 for _, j in want) > 30
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_leaks_odd_rows(odd, empty, bench, most, spark):
     frame, _ = bench
