@@ -172,6 +172,35 @@ def test_a_shared_line_hides_no_passage(spark):
     assert not any(x < 150 for p in got for x in p)
 
 
+@pytest.mark.parametrize("edit", ["insert", "delete", "replace"])
+def test_passages_with_words_inserted_deleted_or_replaced(spark, edit):
+    rng = random.Random(13)
+    some = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    for n in (55, 60, 80, 98, 140):
+        for _ in range(20):
+            p = some(n)
+            k, size = (rng.randint(n // 2 - 3, n // 2 + 3), 1) if n < 80 or edit != "replace" else (n // 2 - 2, 4)
+            q = p[:k] + (some(size) if edit != "delete" else []) + p[k + (0 if edit == "insert" else size) :]
+            before, after, skip = some(rng.randint(0, 30)), some(rng.randint(0, 30)), rng.randint(0, 20)
+            number = lambda w: np.array([int(x[1:]) for x in w], np.uint64)
+            found = passages.alike(number(before + p + after), number(some(skip) + q + some(20)), skip - len(before) + rng.choice([0, len(q) - len(p)]))
+            x, y = shingle_set(" ".join(p)), shingle_set(" ".join(q))
+            assert (len(before), n, skip, len(q)) in [f[:4] for f in found], (edit, n)
+            assert abs(next(f[4] for f in found if f[1] == n) - len(x & y) / len(x | y)) < 1e-9
+    texts = {}
+    for i in range(0, 120, 2):
+        p = some(90)
+        q = {"insert": p[:45] + some(1) + p[45:], "delete": p[:45] + p[46:], "replace": p[:43] + some(4) + p[47:]}[edit]
+        texts[i], texts[i + 1] = some(40) + p + some(50), some(70) + q + some(20)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    rows = passages.repeated_passages(df).collect()
+    got = {tuple(sorted((r.doc_id, r.rep_doc_id))) for r in rows}
+    assert got <= {(i, i + 1) for i in range(0, 120, 2)} and len(got) >= 50
+    for r in rows:
+        x, y = (shingle_set(" ".join(texts[i][s : s + n])) for i, s, n in ((r.doc_id, r.start, r.n_words), (r.rep_doc_id, r.rep_start, r.rep_n_words)))
+        assert min(r.n_words, r.rep_n_words) >= 50 and r.similarity >= 0.8 and abs(len(x & y) / len(x | y) - r.similarity) < 1e-9
+
+
 def test_passages_odd_rows(odd, empty):
     got = passages.repeated_passages(odd).collect()
     assert {(r.doc_id, r.rep_doc_id) for r in got} <= {(1, 6), (6, 1)} and got and max(r.n_words for r in got) == 119
