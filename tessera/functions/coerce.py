@@ -62,11 +62,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def plain_numbers(json: Column) -> Column:
+    """JSON text with whole numbers in one form: 1.0 is 1."""
+    return F.regexp_replace(json, r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0+(?![\d.eE])', "$1$2")
+
+
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted object keys and numbers of one form (1.0 and 1e0 are 1); null if it is not JSON."""
-    sorted_ = F.to_json(F.try_parse_json(text))
-    plain = F.regexp_replace(sorted_, r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0+(?![\d.eE])', "$1$2")
-    return plain
+    return plain_numbers(F.to_json(F.try_parse_json(text)))
 
 
 def row_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,13 @@ class Aggregate:
     limit: int | None = None
 
 
+class Aggregated(NamedTuple):
+    """``groups``: keys, metrics and record_count of each; ``totals``: one row, whose record_count is the number of rows evaluated."""
+
+    groups: DataFrame
+    totals: DataFrame
+
+
 def _metric(m: Metric, schema: T.StructType) -> Column:
     rows = F.count(F.lit(1))
     if m.op == "count":
@@ -67,7 +74,7 @@ def _having(spec: dict[str, Any], names: set[str]) -> Column:
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
-def aggregate(df: DataFrame, spec: Aggregate, *, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def aggregate(df: DataFrame, spec: Aggregate, *, order: str | None = None) -> Aggregated:
     """(groups, totals): keys, metrics and ``record_count`` of each group, and the metrics of all rows before ``having`` and ``limit``.
 
     No rows give no groups, grouped or not. NaN in a key counts as null. With ``limit``, groups are the first by ``order``.
@@ -90,10 +97,10 @@ def aggregate(df: DataFrame, spec: Aggregate, *, order: str | None = None) -> tu
         groups = groups.orderBy("__first").limit(limit).drop("__first")
     elif spec.limit and spec.limit > 0:
         groups = groups.limit(spec.limit)
-    return groups, totals
+    return Aggregated(groups, totals)
 
 
-def aggregate_documents(df: DataFrame, document: str, spec: Aggregate, *, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def aggregate_documents(df: DataFrame, document: str, spec: Aggregate, *, order: str | None = None) -> Aggregated:
     """``aggregate`` of records in a VARIANT column. Keys come as JSON text (``1`` and ``"1"`` are two groups; null without the field, ``null`` where it is null).
 
     A field that a record lacks adds nothing to a metric, an explicit null counts as 0.

@@ -8,13 +8,16 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.errors import ConstraintError
 
 _SPARK = {"TEXT": "string", "INTEGER": "bigint", "REAL": "double", "BOOLEAN": "boolean", "JSON": "string", "ANY": "string"}
 _SAFE = 2**53 - 1
 
 
-class ConstraintError(ValueError):
-    """Rows break a declared schema."""
+__all__ = ["ConstraintError", "Field", "Schema", "broken", "checked", "duplicates", "filled"]
+_TYPES = {"TEXT": T.StringType, "INTEGER": T.IntegralType, "REAL": T.NumericType, "BOOLEAN": T.BooleanType, "JSON": T.StringType, "ANY": T.StringType}
 
 
 @dataclass(frozen=True)
@@ -47,10 +50,13 @@ class Schema:
 
 
 def filled(df: DataFrame, schema: Schema) -> DataFrame:
-    """The declared columns in their order; a column that the rows lack has its default. An explicit null stays null."""
+    """The declared columns in their order; a column that the rows lack has its default. An explicit null stays null. Types are checked, not cast: a string is no INTEGER."""
     unknown = [c for c in df.columns if c not in {f.name for f in schema.fields}]
     if unknown:
         raise ConstraintError(f"columns that are not declared: {unknown}")
+    for f in schema.fields:
+        if f.name in df.columns and not isinstance(df.schema[f.name].dataType, (_TYPES[f.kind], T.NullType)):
+            raise ConstraintError(f"{f.name} must be {f.kind}")
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(f.default)).cast(_SPARK[f.kind]).alias(f.name) for f in schema.fields))
 
 

@@ -6,6 +6,8 @@ the library's own. A row is kept where a condition is true.
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 from typing import Any
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.errors import BindingsError, ResourceLimitError, SchemaError
 from tessera.functions.coerce import ascii_lower, canonical_json
 from tessera.operators.predicates import kind_of
 
@@ -68,9 +71,23 @@ def like(c: Column, pattern: str | None, negated: bool = False) -> Column:
     return ~hit if negated else hit
 
 
+#: Cells that the LIKE tests of one statement may compare.
+LIKE_CELLS = 10_000_000
+
+
 def like_cells(c: Column, pattern: str) -> Column:
-    """The work of a naive LIKE, for a budget over a statement: sum it and compare."""
-    return (F.length(c) + 1).cast("long") * (len(pattern) + 1)
+    """The work of a naive LIKE, in UTF-16 units as lengths are counted there: one more than the text's, times one more than the pattern's."""
+    units = F.octet_length(F.encode(c, "UTF-16BE")) / 2
+    return ((units + 1) * (len(pattern.encode("utf-16-be")) // 2 + 1)).cast("long")
+
+
+def within_budget(df: DataFrame, tests: list[tuple[Column, str]], most: int = LIKE_CELLS) -> DataFrame:
+    """``df``, or ResourceLimitError if LIKE tests (column, pattern) of all its rows take more than ``most`` cells."""
+    total = reduce(lambda a, b: a + b, (F.coalesce(like_cells(c, p), F.lit(0)) for c, p in tests))
+    cells = df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).first()["n"]
+    if cells > most:
+        raise ResourceLimitError(f"LIKE takes {cells} cells of {most}")
+    return df
 
 
 def order_by(df: DataFrame, keys: list[tuple[str, str]], *, last: str | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -89,16 +106,38 @@ def variant_order(c: Column) -> list[Column]:
     return [rank, F.when(rank == 1, get("double")), F.when(rank == 2, get("boolean")), F.when(rank == 3, get("string"))]
 
 
-def select(spark: SparkSession, statement: str, parameters: list[Any] | None = None, **views: DataFrame) -> DataFrame:
-    """A Spark SQL statement with positional ``?`` over DataFrames given by name (``{name}`` in the statement)."""
-    return spark.sql(statement, args=parameters or None, **views) if not (parameters and views) else _with_views(spark, statement, parameters, views)
+#: String literals, quoted names and comments of Spark SQL, in which a name in braces is none.
+_NAMES = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\{(\w+)\}""", re.S)
 
 
-def _with_views(spark: SparkSession, statement: str, parameters: list[Any], views: dict[str, DataFrame]) -> DataFrame:
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-        statement = statement.replace("{" + name + "}", name)
-    return spark.sql(statement, args=parameters)
+def select(spark: SparkSession, statement: str, parameters: list[Any] | None = None, **views: DataFrame) -> DataFrame:
+    """A Spark SQL statement with positional ``?`` over DataFrames given by name (``{name}`` in the statement, but not within quotes).
+
+    SchemaError for a name that is not given and for output names that repeat; BindingsError for a wrong number of parameters.
+    """
+    own = {name: f"v{uuid.uuid4().hex}" for name in views}
+
+    def put(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        if m[1] not in own:
+            raise SchemaError(f"unknown table {m[1]}")
+        return own[m[1]]
+
+    statement = _NAMES.sub(put, statement)
+    marks = len(re.findall(r"\?", re.sub(_NAMES, "", statement)))
+    if marks != len(parameters or []):
+        raise BindingsError(f"{marks} parameters are needed, {len(parameters or [])} given")
+    try:
+        for name, df in views.items():
+            df.createTempView(own[name])
+        out = spark.sql(statement, args=parameters or None)
+    finally:
+        for name in own.values():
+            spark.catalog.dropTempView(name)
+    if len({c.lower() for c in out.columns}) < len(out.columns):
+        raise SchemaError(f"output names repeat: {out.columns}")
+    return out
 
 
 def all_of(tests: list[Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.errors import ConstraintError
 from tessera.functions import coerce, text
 from tessera.operators import changelog, constraints
 from tessera.operators import threevalued as tv
@@ -256,7 +258,7 @@ def sql_json_equality(spark, sf_dir):
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'NEW', 1")
 def dml_insert_view(spark, sf_dir):
     new = spark.range(1).select(F.lit(99).alias("n_nationkey"), F.lit("NEW").alias("n_name"), F.lit(1).alias("n_regionkey"))
-    return Table(_read(spark, sf_dir, "nation"), "n_nationkey").put_many(new).df
+    return Table(_read(spark, sf_dir, "nation"), "n_nationkey").insert(new).df
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM nation")
@@ -269,6 +271,52 @@ def dml_delete_view(spark, sf_dir):
     return Table(_read(spark, sf_dir, "nation"), "n_nationkey").delete_where({"n_regionkey": {"$gte": 3}}).df
 
 
+def _nations(spark: SparkSession, sf_dir: str) -> Table:
+    """Nations bound to a schema: names are not null and unique."""
+    field = constraints.Field
+    schema = constraints.Schema((field("n_nationkey", "INTEGER"), field("n_name", "TEXT", False), field("n_regionkey", "INTEGER", False)), "n_nationkey", (("n_name",),))
+    return Table(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long")), "n_nationkey", schema=schema)
+
+
+def _refused(change: Callable[[], Table]) -> None:
+    try:
+        change()
+    except ConstraintError:
+        return
+    raise AssertionError("a change that breaks a constraint was made")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation UNION ALL SELECT 99, 'NEW', 1")
+def dml_insert_conflict(spark, sf_dir):
+    """Of three inserts, that of a key that is there and that of a name that is there are refused, and change nothing."""
+    table, new = _nations(spark, sf_dir), lambda k, name: spark.createDataFrame([(k, name, 1)], "n_nationkey long, n_name string, n_regionkey long")
+    first = table.df.select("n_name").first()[0]
+    _refused(lambda: table.insert(new(5, "OTHER")))
+    table = table.insert(new(99, "NEW"))
+    _refused(lambda: table.insert(new(100, first)))
+    return table.df
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_regionkey = 2 THEN n_name || '*' ELSE n_name END AS n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def dml_validated_update(spark, sf_dir):
+    """Of three updates, those that make names equal or null are refused."""
+    table = _nations(spark, sf_dir)
+    _refused(lambda: table.update_where({"n_regionkey": 2}, {"n_name": "SAME"}))
+    _refused(lambda: table.update_where({"n_nationkey": 3}, {"n_name": F.lit(None)}))
+    return table.update_where({"n_regionkey": 2}, {"n_name": F.concat("n_name", F.lit("*"))}).df
+
+
+@query("""SELECT n_nationkey::BIGINT AS n_nationkey, CASE n_nationkey WHEN 3 THEN (SELECT n_name FROM nation WHERE n_nationkey = 4) WHEN 4 THEN (SELECT n_name FROM nation WHERE n_nationkey = 3) ELSE n_name END AS n_name,
+          n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey <> 1""")
+def change_set(spark, sf_dir):
+    """Two names change places, which breaks their uniqueness in between, and rows go, all at once; another set that ends broken changes nothing."""
+    table = _nations(spark, sf_dir)
+    a, b = (table.get(k).first()["n_name"] for k in (3, 4))
+    swap = lambda t: t.update_where({"n_nationkey": 3}, {"n_name": b}).update_where({"n_nationkey": 4}, {"n_name": a})
+    _refused(lambda: table.transaction(lambda t: swap(t).update_where({"n_nationkey": 4}, {"n_name": b})))
+    return table.transaction(lambda t: swap(t).delete_where({"n_regionkey": 1})).df
+
+
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1")
 def unique_violations(spark, sf_dir):
     return constraints.duplicates(_read(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
@@ -297,7 +345,7 @@ _NORMAL = r"trim(CASE WHEN role = 'system' THEN regexp_replace(text, '[ \t]+', '
 
 
 @query(f"""WITH s AS (SELECT conv_id, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS a, CAST(sum(ceil(length({_NORMAL}) / 4.0)) AS BIGINT) AS b FROM conversations GROUP BY conv_id)
-           SELECT conv_id, a AS tokens_before, b AS tokens_after, greatest(a - b, 0) AS tokens_saved, CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE floor(b::DOUBLE / a * 100 + 0.5) / 100 END AS ratio FROM s""")
+           SELECT conv_id, a AS tokens_before, b AS tokens_after, greatest(a - b, 0) AS tokens_saved, CASE WHEN a = 0 THEN 0.0::DOUBLE ELSE floor(greatest(a - b, 0)::DOUBLE / a * 100 * 100 + 0.5) / 100 END AS percent_saved FROM s""")
 def conversation_compaction(spark, sf_dir):
     return text.compact(_read(spark, sf_dir, "conversations"))
 
@@ -330,11 +378,33 @@ def log_replay_current(spark, sf_dir):
     return changelog.replay(_frames(spark, sf_dir))
 
 
-@query(f"""WITH f AS ({_FRAMES}), w AS (SELECT *, lag(payload) OVER p AS prev, lag(op) OVER p AS prev_op FROM f WHERE op <> 'CLEAR' WINDOW p AS (PARTITION BY "table", "key" ORDER BY frame_id))
-           SELECT frame_id, json_extract_string(prev, '$.k') AS old, json_extract_string(payload, '$.k') AS new FROM w
-           WHERE prev IS NOT NULL AND op <> 'DELETE' AND prev_op <> 'DELETE' AND json_extract_string(prev, '$.k') <> json_extract_string(payload, '$.k')""")
+_TYPED = """CASE event_id % 3 WHEN 0 THEN '{"k":' || event_id % 2 || '}' WHEN 1 THEN '{"k":"' || event_id % 2 || '"}' ELSE '{"k":' || event_id % 2 || '.0,"z":null}' END"""
+
+
+@query(f"""WITH f AS ({_FRAMES}), g AS (SELECT * REPLACE (CASE WHEN op = 'DELETE' THEN NULL ELSE {_TYPED.replace("event_id", "frame_id")} END AS payload) FROM f),
+                c AS (SELECT *, max(CASE WHEN op = 'CLEAR' THEN frame_id END) OVER (PARTITION BY "table" ORDER BY frame_id) AS cl FROM g),
+                w AS (SELECT *, lag(payload) OVER p AS prev, lag(op) OVER p AS prev_op, lag(frame_id) OVER p AS prev_id FROM c WHERE op <> 'CLEAR' WINDOW p AS (PARTITION BY "table", "key" ORDER BY frame_id)),
+                v AS (SELECT frame_id, replace(CAST(json_extract(prev, '$.k') AS VARCHAR), '.0', '') AS k_old, replace(CAST(json_extract(payload, '$.k') AS VARCHAR), '.0', '') AS k_new,
+                             CASE WHEN json_exists(prev, '$.z') THEN 'null' END AS z_old, CASE WHEN json_exists(payload, '$.z') THEN 'null' END AS z_new
+                      FROM w WHERE op <> 'DELETE' AND prev_op <> 'DELETE' AND prev_id > coalesce(cl, -1))
+           SELECT frame_id, CASE WHEN k_old <> k_new THEN k_old END AS k_old, CASE WHEN k_old <> k_new THEN k_new END AS k_new, z_old IS DISTINCT FROM z_new AS z_changed
+           FROM v WHERE k_old <> k_new OR z_old IS DISTINCT FROM z_new""")
 def change_diff(spark, sf_dir):
-    return changelog.differences(_frames(spark, sf_dir)).select("frame_id", F.col("diff")["k"]["old"].alias("old"), F.col("diff")["k"]["new"].alias("new"))
+    """Numbers that become strings, fields that come and go as nulls, deletes and CLEARs between."""
+    payload = F.when(F.col("op") != "DELETE", F.expr(_TYPED.replace("event_id", "frame_id")))
+    diff = changelog.differences(_frames(spark, sf_dir).withColumn("payload", payload), span=1000)
+    return diff.select("frame_id", F.col("diff")["k"]["old"].alias("k_old"), F.col("diff")["k"]["new"].alias("k_new"), F.col("diff").getItem("z").isNotNull().alias("z_changed"))
+
+
+@query(f"""SELECT frame_id, op, payload FROM ({_FRAMES}) UNION ALL SELECT NULL, NULL, NULL FROM events WHERE event_id % 1000 = 5""")
+def log_torn_tail(spark, sf_dir):
+    """Files whose last line was cut off after its first byte, and lines in their middle that are no frames: only the cut ones go."""
+    head = F.to_json(F.struct("frame_id", "ts", "op", "table", "key"))
+    line = F.concat(F.substring(head, 2, 1 << 30).substr(F.lit(1), F.length(head) - 2), F.lit(',"payload":'), "payload", F.lit(',"checksum":"x"}'), F.when(F.col("frame_id") % 1000 == 5, "\nno frame").otherwise(""))
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    folder = f"{snapshots.shared_folder(spark)}/torn-{uuid.uuid4().hex}"
+    _frames(spark, sf_dir).select(F.when(nth == 0, F.concat(F.lit("{"), line)).otherwise(line)).write.option("lineSep", "\n{").text(folder)
+    return changelog.torn_tail(changelog.read_frames(spark, folder)).select("frame_id", "op", "payload")
 
 
 _EXPIRY = "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id + user_id END"
@@ -346,13 +416,32 @@ def ttl_live_rows(spark, sf_dir):
     return changelog.live_rows(rows, F.lit(100)).select("event_id")
 
 
-@query("SELECT event_id + 1 AS frame_id, 'link' AS why FROM events WHERE event_id % 100 = 7 AND event_id < (SELECT max(event_id) FROM events)")
+_TAMPERED = """SELECT frame_id, ts, CASE WHEN frame_id = 18 THEN 'DROP' ELSE op END AS op, "table", "key", CASE WHEN frame_id = 5 THEN '{"x":1}' WHEN frame_id = 7 THEN '[]' ELSE payload END AS payload,
+                      CASE WHEN frame_id = 15 THEN NULL ELSE checksum END AS checksum, CASE WHEN frame_id = 9 THEN repeat('0', 64) WHEN frame_id IN (1, 21) THEN NULL ELSE previous END AS previous
+               FROM @chain WHERE frame_id <> 11 UNION ALL SELECT * FROM @chain WHERE frame_id = 13"""
+_HASHED = """frame_id || ':' || ts || ':' || op || ':' || "table" || ':' || "key" || ':' || payload || ':' || """
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS frame_id, CAST(n_regionkey AS BIGINT) AS ts, 'INSERT' AS op, 'nation' AS "table", n_name AS "key", '{{"r":' || n_regionkey || '}}' AS payload FROM nation),
+                chain AS (SELECT n.*, sha256({_HASHED} repeat('0', 64)) AS checksum, repeat('0', 64) AS previous FROM n WHERE frame_id = 1
+                          UNION ALL SELECT n.*, sha256({_HASHED.replace("frame_id ||", "n.frame_id ||").replace("ts ||", "n.ts ||").replace(" op ||", " n.op ||").replace('"table"', 'n."table"').replace('"key"', 'n."key"').replace("payload", "n.payload")} c.checksum), c.checksum FROM n JOIN chain c ON n.frame_id = c.frame_id + 1),
+                f AS ({_TAMPERED.replace("@", "")}), good AS (SELECT * FROM f WHERE checksum IS NOT NULL AND payload LIKE '{{%'),
+                k AS (SELECT frame_id, count(*) AS n, min(checksum) AS own FROM good GROUP BY 1),
+                j AS (SELECT g.*, k.n, b.own AS before, coalesce(b.own, repeat('0', 64)) AS expected FROM good g JOIN k USING (frame_id) LEFT JOIN k b ON b.frame_id = g.frame_id - 1),
+                w AS (SELECT frame_id, CASE WHEN op = 'DROP' THEN 'op' WHEN n > 1 THEN 'twice' WHEN frame_id > 1 AND before IS NULL THEN 'gap' WHEN previous <> expected THEN 'link'
+                                            WHEN checksum <> sha256({_HASHED} expected) THEN 'checksum' END AS why FROM j)
+           SELECT frame_id, why FROM w WHERE why IS NOT NULL UNION ALL SELECT frame_id, 'form' FROM f WHERE checksum IS NULL OR payload NOT LIKE '{{%'""")
 def chain_verify(spark, sf_dir):
-    """Frames whose checksums cover their own fields and a given previous one; every hundredth link is false."""
-    rows = _frames(spark, sf_dir).withColumn("op", F.lit("INSERT"))
-    link = lambda i: F.sha2(i.cast("string").cast("binary"), 256)
-    chained = rows.withColumn("checksum", link(F.col("frame_id"))).withColumn("previous", F.when(F.col("frame_id") % 100 == 8, F.lit("0")).otherwise(F.when(F.col("frame_id") == 0, F.lit(changelog.GENESIS)).otherwise(link(F.col("frame_id") - 1))))
-    return changelog.violations(chained).where("why = 'link'")
+    """A true chain of the nations' frames, of which known ones were changed, lost, doubled or damaged: each with its reason."""
+    n = _read(spark, sf_dir, "nation").select(F.array(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")).alias("k"), F.col("n_name").alias("key"))
+    listed = n.agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("a"))  # 25 rows at every size
+    text = lambda i, x: F.concat_ws(":", (i + 1).cast("string"), x["k"][1].cast("string"), F.lit("INSERT"), F.lit("nation"), x["key"], F.concat(F.lit('{"r":'), x["k"][1].cast("string"), F.lit("}")))
+    texts = F.transform("a", lambda x, i: text(i, x))
+    sums = F.aggregate(texts, F.array(F.lit(changelog.GENESIS)), lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(t, F.lit(":"), F.element_at(acc, -1)), 256))))
+    rows = listed.select(F.posexplode("a").alias("i", "x"), sums.alias("c"))
+    i = F.col("i")
+    chain = rows.select((i + 1).cast("long").alias("frame_id"), F.col("x.k")[1].alias("ts"), F.lit("INSERT").alias("op"), F.lit("nation").alias("table"), F.col("x.key").alias("key"), F.concat(F.lit('{"r":'), F.col("x.k")[1].cast("string"), F.lit("}")).alias("payload"), F.col("c")[i + 1].alias("checksum"), F.col("c")[i].alias("previous"))
+    return changelog.violations(tv.select(spark, _TAMPERED.replace("@chain", "{chain}").replace('"table"', "`table`").replace('"key"', "`key`"), chain=chain))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -429,9 +518,9 @@ def dml_delete_keys(spark, sf_dir):
 @query("SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 'SWAPPED' ELSE n_name END AS n_name FROM nation")
 def dml_swap_if(spark, sf_dir):
     table = Table(_read(spark, sf_dir, "nation"), "n_nationkey")
-    done, table = table.swap_if(7, {"n_regionkey": {"$gte": 0}}, {"n_name": "SWAPPED"})
-    refused, table = table.swap_if(7, {"n_name": "no such name"}, {"n_name": "LOST"})
-    if not done or refused:
+    done, table, _ = table.swap_if(7, {"n_regionkey": {"$gte": 0}}, {"n_name": "SWAPPED"})
+    refused, table, now = table.swap_if(7, {"n_name": "no such name"}, {"n_name": "LOST"})
+    if not done or refused or now.first()["n_name"] != "SWAPPED":
         raise AssertionError("a swap that must happen did not, or the other way round")
     return table.df.select("n_nationkey", "n_name")
 
@@ -454,9 +543,12 @@ def table_diff(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0")
 def blob_quarantine(spark, sf_dir):
+    return blobs.verified(_stored(spark, sf_dir))[1].select("doc_id")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
-    stored = stored.withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.sha2("content", 256)))
-    return blobs.verified(stored)[1].select("doc_id")
+    return stored.withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.sha2("content", 256)))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN text ELSE trim(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9)) END AS text FROM conversations""")
@@ -468,9 +560,14 @@ def blocks_normalise(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("b")[0]["text"].alias("text"))
 
 
-@query("SELECT 'region' AS \"table\", count(*) AS rows, 2 AS columns FROM region UNION ALL SELECT 'nation', count(*), 3 FROM nation UNION ALL SELECT 'orders', count(*), 6 FROM orders")
+@query("""SELECT 'table' AS part, 'region' AS name, count(*) AS rows, 0::BIGINT AS problems, 'healthy' AS status FROM region
+          UNION ALL SELECT 'table', 'customer', count(*), count(CASE WHEN c_custkey % 7 = 0 THEN 1 END), 'degraded' FROM customer
+          UNION ALL SELECT 'blobs', 'blobs', count(*), count(CASE WHEN doc_id % 7 = 0 THEN 1 END), 'degraded' FROM documents WHERE text IS NOT NULL""")
 def table_health(spark, sf_dir):
-    return snapshots.health({n: _read(spark, sf_dir, n) for n in ("region", "nation", "orders")})
+    """A table without a schema, one whose balances may not be null but are, and blobs of which some have another hash."""
+    schema = constraints.Schema((constraints.Field("c_custkey", "INTEGER"), constraints.Field("bal", "REAL", False)), "c_custkey")
+    tables = {"region": _read(spark, sf_dir, "region"), "customer": _customers(spark, sf_dir).df.select("c_custkey", "bal")}
+    return snapshots.health(tables, schemas={"customer": schema}, blobs=_stored(spark, sf_dir))
 
 
 @query("SELECT 'one' AS label, 'nation' AS \"table\", count(*) AS rows FROM nation UNION ALL SELECT 'two', 'nation', count(*) FROM nation UNION ALL SELECT 'two', 'region', count(*) FROM region")
@@ -482,31 +579,88 @@ def snapshot_list(spark, sf_dir):
     return snapshots.listed(spark, folder).select("label", F.explode("tables").alias("table", "rows"))
 
 
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9)) AS text FROM conversations""")
+def blocks_nested(spark, sf_dir):
+    """Turns as blocks within the result of a tool."""
+    inner = F.array(F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("signature")))
+    block = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("signature"), inner.alias("content"))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalise_blocks(F.array(block), nested=True).alias("b"))
+    return rows.select("conv_id", "turn", F.col("b")[0]["content"][0]["text"].alias("text"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 40")
+def filter_object(spark, sf_dir):
+    """A dictionary without operators is no condition."""
+    return Table(_read(spark, sf_dir, "part"), "p_partkey").query(Options(Clauses({"p_name": {"first": "cold"}, "p_size": {"$gt": 40}}))).select("p_partkey")
+
+
+@query(f"SELECT c_custkey AS _key, c_name AS name FROM ({_CUSTOMERS}) WHERE bal > 5000 ORDER BY bal DESC, c_custkey LIMIT 40")
+def table_entries(spark, sf_dir):
+    rows = _customers(spark, sf_dir).entries(Options(Clauses({"bal": {"$gt": 5000}}), sort=(("bal", "desc"),), limit=40))
+    return rows.select("_key", F.col("record.c_name").alias("name"))
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^cold.*t$')")
+def filter_regex_literal(spark, sf_dir):
+    return Table(_read(spark, sf_dir, "part"), "p_partkey").query(Options(Clauses({"p_name": re.compile("^cold.*t$")}))).select("p_partkey")
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS files FROM documents WHERE doc_id < 0 GROUP BY 1 UNION ALL SELECT sha256(r_name), 1 FROM region")
+def blob_folder(spark, sf_dir):
+    """Blobs stored as files that are named by their hashes, one for each region's name, read back and verified."""
+    folder = f"{snapshots.shared_folder(spark)}/blobs-{uuid.uuid4().hex}"
+    stored = blobs.addressed(_read(spark, sf_dir, "region"), "r_name")
+    stored.select("hash", F.col("content").cast("string").alias("value")).write.partitionBy("hash").option("lineSep", "\x00").text(folder)
+    read = blobs.read_folder(spark, folder, name=r"hash=([0-9a-f]{64})/[^/]+$").withColumn("content", F.substring("content", F.lit(1), F.octet_length("content") - 1))
+    return blobs.verified(read)[0].groupBy("hash").agg(F.count("*").alias("files"))
+
+
+@query(f"""WITH f AS ({_FRAMES}), c AS (SELECT "table", max(frame_id) AS cl FROM f WHERE op = 'CLEAR' GROUP BY 1),
+                l AS (SELECT f.* FROM f LEFT JOIN c USING ("table") WHERE op <> 'CLEAR' AND (cl IS NULL OR frame_id > cl)),
+                r AS (SELECT *, row_number() OVER (PARTITION BY "table", "key" ORDER BY frame_id DESC) AS k, max(CASE WHEN op = 'DELETE' THEN frame_id END) OVER (PARTITION BY "table", "key") AS gone FROM l),
+                b AS (SELECT "table", "key", min(frame_id) AS inserted FROM r WHERE gone IS NULL OR frame_id > gone GROUP BY ALL)
+           SELECT (SELECT max(frame_id) FROM f) + row_number() OVER (ORDER BY inserted) AS frame_id, r."table", r."key", payload FROM r JOIN b USING ("table", "key") WHERE k = 1 AND op <> 'DELETE'""")
+def log_compact(spark, sf_dir):
+    return changelog.compacted(_frames(spark, sf_dir), 0).select("frame_id", "table", "key", "payload")
+
+
 # streams
 
 
 def _stream(spark: SparkSession, sf_dir: str, where: dict | None = None) -> tuple[DataFrame, str]:
-    """The frames as JSON files in a shared folder, read as a stream; and the folder."""
+    """The frames, deletes without a record, as JSON files in a shared folder, read as a stream; and the folder."""
     folder = f"{snapshots.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    _frames(spark, sf_dir).write.json(f"{folder}/frames")
+    # a stream's time begins at 0, and what is not after it is late
+    _frames(spark, sf_dir).withColumn("payload", F.when(F.col("op") != "DELETE", F.col("payload"))).withColumn("ts", F.col("ts") + 1).write.json(f"{folder}/frames")
     return events.stream(spark, f"{folder}/frames", where), folder
 
 
-@query(f"""SELECT frame_id, op FROM ({_FRAMES}) WHERE op = 'CLEAR' OR CAST(json_extract_string(payload, '$.k') AS BIGINT) > 50""")
+@query(f"""SELECT frame_id, op FROM ({_FRAMES}) WHERE op IN ('CLEAR', 'DELETE') OR CAST(json_extract_string(payload, '$.k') AS BIGINT) > 50""")
 def stream_changes(spark, sf_dir):
-    """Change events filtered by their record; CLEAR is always delivered."""
+    """Change events filtered by their record; what carries none is always delivered."""
     rows, folder = _stream(spark, sf_dir, {"k": {"$gt": 50}})
     events.written(rows.select("frame_id", "op"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema("frame_id long, op string").parquet(f"{folder}/out")
 
 
-@query(f"""SELECT "table", "key", max(frame_id) AS frame_id, arg_max(op, frame_id) AS op, arg_max(payload, frame_id) AS payload FROM ({_FRAMES}) WHERE op <> 'CLEAR' GROUP BY ALL""")
+@query(f"""WITH w AS (SELECT frame_id, op, CASE WHEN op = 'DELETE' THEN NULL ELSE payload END AS payload, "table", "key" FROM ({_FRAMES}) WHERE op <> 'CLEAR'),
+                b AS (SELECT *, lag(payload) OVER (PARTITION BY "table", "key" ORDER BY frame_id) AS before FROM w)
+           SELECT frame_id, op, before FROM b WHERE coalesce(payload, before) IS NULL OR CAST(json_extract_string(coalesce(payload, before), '$.k') AS BIGINT) > 50""")
+def stream_before(spark, sf_dir):
+    """Writes filtered by their record or, for deletes, by the record that state holds of the key."""
+    rows, folder = _stream(spark, sf_dir)
+    found = events.matching(events.with_before(rows), {"k": {"$gt": 50}}).select("frame_id", "op", "before")
+    events.written(found, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("frame_id long, op string, before string").parquet(f"{folder}/out")
+
+
+@query(f"""SELECT "table", "key", max(frame_id) AS frame_id, arg_max(op, frame_id) AS op, arg_max(CASE WHEN op = 'DELETE' THEN 'none' ELSE payload END, frame_id) AS payload FROM ({_FRAMES}) WHERE op <> 'CLEAR' GROUP BY ALL""")
 def stream_current(spark, sf_dir):
     """The last write of every key, kept by a streaming aggregate."""
     rows, folder = _stream(spark, sf_dir)
     now = events.current(rows)
     events.written(now, f"{folder}/out", f"{folder}/checkpoint", mode="complete")
-    return spark.read.schema(now.schema).parquet(f"{folder}/out")
+    return spark.read.schema(now.schema).parquet(f"{folder}/out").withColumn("payload", F.coalesce("payload", F.lit("none")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

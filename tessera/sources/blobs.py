@@ -10,13 +10,14 @@ REFERENCE = "CAS:"
 
 def addressed(contents: DataFrame, content: str = "content") -> DataFrame:
     """(hash, size, copies, content) of the distinct contents. Hashes are grouped, so equal contents meet as counts before the shuffle."""
-    rows = contents.where(F.col(content).isNotNull()).select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), F.col(content).cast("binary").alias("content"))
-    return rows.groupBy("hash").agg(F.octet_length(F.first("content")).cast("long").alias("size"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content"))
+    rows = contents.where(F.col(content).isNotNull()).select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), F.octet_length(F.col(content)).cast("long").alias("size"), F.col(content).cast("binary").alias("content"))
+    # the size is taken before the group: where the contents are not asked for, they are not shuffled
+    return rows.groupBy("hash").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.first("content").alias("content"))
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder whose names are their hashes, as (hash, content)."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("hash"), "content")
+def read_folder(spark: SparkSession, path: str, name: str = r"([^/]+)$") -> DataFrame:
+    """Files of a folder as (hash, content); the first group of ``name`` takes the hash out of a file's path."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", name, 1).alias("hash"), "content")
 
 
 def verified(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:

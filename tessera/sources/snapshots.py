@@ -5,11 +5,17 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import time
 import uuid
+from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.changelog import violations
+from tessera.operators.constraints import Field, Schema, broken, duplicates
+
 
 class SnapshotIntegrityError(ValueError):
     """A snapshot is not what its manifest says."""
@@ -18,7 +24,11 @@ class SnapshotIntegrityError(ValueError):
 def shared_folder(spark: SparkSession) -> str:
     """A folder for snapshots under ``spark.checkpoint.dir``; only where that is unset a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(found or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/snapshots"
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+    return f"{found.rstrip('/')}/snapshots"
 
 
 def content_hash(df: DataFrame) -> tuple[int, str]:
@@ -29,8 +39,12 @@ def content_hash(df: DataFrame) -> tuple[int, str]:
     return n, f"{x or 0}:{y or 0}"
 
 
-def save(tables: dict[str, DataFrame], folder: str, label: str = "") -> str:
-    """Writes a snapshot under ``folder`` and returns its id. The manifest is written last: without it there is no snapshot."""
+def save(tables: dict[str, DataFrame], folder: str, label: str = "", *, at: int | None = None, frame: int | None = None, schemas: dict[str, Schema] | None = None) -> str:
+    """Writes a snapshot under ``folder`` and returns its id. The manifest is written last: without it there is no snapshot.
+
+    ``at``: its time in milliseconds (now). ``frame``: the last frame of the change log that it holds; a replay goes on after
+    it. ``schemas``: what the tables must obey, put back by ``load_schemas``.
+    """
     spark = next(iter(tables.values())).sparkSession
     id_ = uuid.uuid4().hex
     entries = {}
@@ -38,7 +52,8 @@ def save(tables: dict[str, DataFrame], folder: str, label: str = "") -> str:
         df.write.parquet(f"{folder}/{id_}/tables/{name}")
         rows, digest = content_hash(spark.read.parquet(f"{folder}/{id_}/tables/{name}"))
         entries[name] = {"rows": rows, "hash": digest}
-    manifest = json.dumps({"format": 1, "id": id_, "label": label, "tables": entries}, sort_keys=True)
+    said = {name: asdict(x) for name, x in (schemas or {}).items()}
+    manifest = json.dumps({"format": 1, "id": id_, "label": label, "at": int(time.time() * 1000) if at is None else at, "frame": frame, "tables": entries, "schemas": said}, sort_keys=True)
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{folder}/{id_}/manifest")
     return id_
 
@@ -53,10 +68,31 @@ def manifest(spark: SparkSession, folder: str, id_: str) -> dict:
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshots of a folder: id, label, and a map from table to its rows. A snapshot without a manifest was not finished and is not listed."""
-    said = F.from_json("value", "id string, label string, tables map<string, struct<rows: long, hash: string>>")
+    """The snapshots of a folder, the newest first: id, label, at, frame, and a map from table to its rows. A snapshot without a manifest was not finished and is not listed."""
+    said = F.from_json("value", "id string, label string, at long, frame long, tables map<string, struct<rows: long, hash: string>>")
     rows = spark.read.text(f"{folder}/*/manifest").select(said.alias("m"))
-    return rows.select("m.id", "m.label", F.transform_values("m.tables", lambda _, t: t["rows"]).alias("tables"))
+    return rows.select("m.id", "m.label", "m.at", "m.frame", F.transform_values("m.tables", lambda _, t: t["rows"]).alias("tables")).orderBy(F.col("at").desc(), "id")
+
+
+def load_schemas(spark: SparkSession, folder: str, id_: str) -> dict[str, Schema]:
+    """The schemas that a snapshot was saved with."""
+    out = {}
+    for name, x in manifest(spark, folder, id_).get("schemas", {}).items():
+        out[name] = Schema(tuple(Field(**f) for f in x["fields"]), x["primary_key"], tuple(tuple(g) for g in x["unique"]))
+    return out
+
+
+def read_records(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of a JSON snapshot file: key, record (JSON text). Entries of the form {id, record}, or records by themselves, whose ``id`` is the key.
+
+    The file is one JSON value, so it is read by one task; it is the form of small, older snapshots. A file that does not
+    have the table gives no rows.
+    """
+    doc = F.parse_json("value")
+    rows = spark.read.option("wholetext", True).text(path).select(F.coalesce(F.try_variant_get(doc, f"$.tables.{table}", "array<variant>"), F.try_variant_get(doc, f"$.{table}", "array<variant>")).alias("a"))
+    e = rows.select(F.explode("a").alias("e"))
+    inner = F.try_variant_get("e", "$.record", "variant")
+    return e.select(F.try_variant_get("e", "$.id", "string").alias("key"), F.to_json(F.coalesce(inner, F.col("e"))).alias("record"))
 
 
 def load(spark: SparkSession, folder: str, id_: str) -> dict[str, DataFrame]:
@@ -75,10 +111,25 @@ def rollback(spark: SparkSession, current: dict[str, DataFrame], folder: str, id
     return current | load(spark, folder, id_)
 
 
-def health(tables: dict[str, DataFrame]) -> DataFrame:
-    """A row per table: rows and columns."""
-    parts = [df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns")) for n, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def health(tables: dict[str, DataFrame], *, schemas: dict[str, Schema] | None = None, frames: DataFrame | None = None, blobs: DataFrame | None = None) -> DataFrame:
+    """A row per table, and per log and blob store if given: part, name, rows, problems, status (``healthy`` or ``degraded``).
+
+    Problems are rows that break the table's schema (if it has one) and groups that are not unique, frames that break the
+    chain, and blobs whose content has another hash.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    parts = []
+    for name, df in tables.items():
+        schema = (schemas or {}).get(name)
+        n = df.agg(F.count(F.lit(1)).alias("rows"), (F.count_if(broken(schema).isNotNull()) if schema else F.lit(0)).cast("long").alias("problems"))
+        for group in ((schema.primary_key,), *schema.unique) if schema else ():
+            n = n.crossJoin(duplicates(df, group).agg(F.count(F.lit(1)).alias("twice"))).select("rows", (F.col("problems") + F.col("twice")).alias("problems"))  # one row
+        parts.append(n.select(F.lit("table").alias("part"), F.lit(name).alias("name"), "rows", "problems"))
+    if frames is not None:
+        n = frames.agg(F.count(F.lit(1)).alias("rows")).crossJoin(violations(frames).agg(F.count(F.lit(1)).alias("problems")))
+        parts.append(n.select(F.lit("log").alias("part"), F.lit("frames").alias("name"), "rows", "problems"))
+    if blobs is not None:
+        wrong = F.count_if(~(F.sha2("content", 256) == F.col("hash")) | F.col("content").isNull())
+        parts.append(blobs.agg(F.count(F.lit(1)).alias("rows"), wrong.alias("problems")).select(F.lit("blobs").alias("part"), F.lit("blobs").alias("name"), "rows", "problems"))
+    out = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "part string, name string, rows long, problems long")
+    return out.withColumn("status", F.when(F.col("problems") > 0, "degraded").otherwise("healthy"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,62 @@ from tessera.operators.predicates import DocumentFields, matches
 
 
 def stream(spark: SparkSession, folder: str, where: dict[str, Any] | None = None, files: int = 64) -> DataFrame:
-    """Frames of the JSON files in ``folder`` as they come; ``where`` filters by the record (CLEAR always passes)."""
+    """Frames of the JSON files in ``folder`` as they come.
+
+    ``where`` filters by the record: a frame whose record is known and does not match is left out. CLEAR, and a DELETE that
+    carries no record, always pass (``with_before`` knows the record that a DELETE removes).
+    """
     frames = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", files).json(folder)
-    if not where:
-        return frames
-    rows = frames.withColumn("__doc", F.try_parse_json("payload"))
-    return rows.where((F.col("op") == "CLEAR") | matches(DocumentFields("__doc"), where)).drop("__doc")
+    return matching(frames, where) if where else frames
+
+
+def matching(frames: DataFrame, where: dict[str, Any]) -> DataFrame:
+    """Frames whose record (``payload``, else ``before`` if there is such a column) matches, or is not known."""
+    record = F.coalesce("payload", "before") if "before" in frames.columns else F.col("payload")
+    rows = frames.withColumn("__doc", F.try_parse_json(record))
+    return rows.where((F.col("op") == "CLEAR") | F.col("__doc").isNull() | matches(DocumentFields("__doc"), where)).drop("__doc")
+
+
+_STATE = "payload string, expires_at long"
+_EVENT = "frame_id long, ts long, op string, `table` string, key string, payload string, before string"
+
+
+def with_before(frames: DataFrame, expires: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """Writes with the record that their key had ``before``, kept as state for each key: frame_id, ts, op, table, key, payload, before.
+
+    ``expires``: the field of a record with the time in milliseconds at which it ends. Once the stream's time (the largest
+    ``ts`` less ``late``) has passed it, an event of op EXPIRE (frame_id null, ts the end, the record in ``before``) is
+    given and the record forgotten; a write without the field ends it never. The frames of a micro-batch are taken in their
+    order. Frames whose ``ts`` is not after the stream's time are late and left out; a CLEAR is of no key and is not seen.
+    """
+
+    def step(key, batches, state):
+        kept = state.get if state.exists else (None, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((None, kept[1], "EXPIRE", *key, None, kept[0]))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("frame_id", kind="stable")
+            for r in rows.itertuples(index=False):
+                if kept[1] is not None and kept[1] <= r.ts:  # it ended before this write
+                    out.append((None, kept[1], "EXPIRE", *key, None, kept[0]))
+                    kept = (None, None)
+                out.append((r.frame_id, r.ts, r.op, *key, r.payload, kept[0]))
+                kept = (None, None) if r.op == "DELETE" else (r.payload, None if pd.isna(r.end) else int(r.end))
+            if kept[0] is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(kept)
+                if kept[1] is not None:
+                    state.setTimeoutTimestamp(max(kept[1], state.getCurrentWatermarkMs() + 1))
+        table = pd.DataFrame(out, columns=["frame_id", "ts", "op", "table", "key", "payload", "before"])
+        yield table.astype({"frame_id": "Int64", "ts": "Int64"})
+
+    end = F.try_variant_get(F.try_parse_json("payload"), f"$.{expires}", "long") if expires else F.lit(None).cast("long")
+    rows = frames.where(F.col("op").isin("INSERT", "UPDATE", "DELETE")).select("frame_id", "ts", "op", "table", "key", "payload", end.alias("end"), F.timestamp_millis("ts").alias("time")).withWatermark("time", late)
+    return rows.groupBy("table", "key").applyInPandasWithState(step, _EVENT, _STATE, "append", "EventTimeTimeout")
 
 
 def subscribe(events: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False):
