@@ -10,7 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import written
+from tessera.llm.scratch import dropped, written
+
+#: A node with more edges to nodes above it is dealt to this many places.
+HEAVY, SALTS = 256, 64
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,12 +29,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     before = mark(now)
     while before[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large star: the neighbours of v above v move to v's least neighbour m, if that is below v
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        large = _heads(now, low.select(F.col("u").alias("v"), "m")).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # small star: u and its neighbours below it move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        dropped(last)
         after = mark(now)
         if after == before:
             break
@@ -39,6 +44,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _heads(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` (u above v) with v's least neighbour m if it is below v, else null.
+
+    A root that very many nodes have is dealt to ``SALTS`` places, each with a copy of its one row of ``low``; what is joined
+    is a node's own least neighbour, so no node's edges are gathered.
+    """
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+    many = edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("v")
+    low = low.join(many.withColumn("heavy", F.lit(True)), "v", "left").select("v", "m", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("s"))
+    salted = salted.join(many.withColumn("heavy", F.lit(True)), "v", "left").withColumn("s", F.when(F.col("heavy"), F.col("s")).otherwise(-1)).drop("heavy")
+    return salted.join(low, ["v", "s"], "left").select("u", "v", "m")
+
+
 class Forest:
     """The sets that pairs of the numbers below ``n`` make, with the smallest number of each as its root."""
 

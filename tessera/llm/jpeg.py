@@ -189,7 +189,14 @@ class Frame:
 
 
 def parse(file: bytes) -> Frame:
-    """The markers of a baseline file with one scan."""
+    """The markers of a baseline file with one scan. Unreadable if a segment is too short for what it must hold."""
+    try:
+        return _parse(file)
+    except (struct.error, IndexError, KeyError, ValueError) as e:
+        raise Unreadable(f"a segment is damaged: {e}") from e
+
+
+def _parse(file: bytes) -> Frame:
     if file[:2] != b"\xff\xd8":
         raise Unreadable("no start of image")
     f, at = Frame(), 2
@@ -232,6 +239,8 @@ def parse(file: bytes) -> Frame:
             f.scan = [(index[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             if not f.components or len(f.scan) != len(f.components) or not f.width or not f.height:
                 raise Unreadable("not a frame with one scan")
+            if len(f.components) > 4 or any(not 1 <= x <= 4 for _, h, v, _ in f.components for x in (h, v)):
+                raise Unreadable("sampling factors that no frame has")
             end = file.rfind(b"\xff\xd9")
             f.data = (at, end if end >= at else len(file))
             return f
@@ -275,6 +284,8 @@ def decode(files: list[bytes]) -> list[tuple[Frame, list[np.ndarray]]]:
         across, down = (8, 8) if single else (8 * top_h, 8 * top_v)
         mcus = -(-f.width // across) * -(-f.height // down)
         raw, bounds = _intervals(np.frombuffer(file, np.uint8)[f.data[0] : f.data[1]])
+        if mcus * len(pattern) > 4 * len(raw):  # a block takes two bits at least
+            raise Unreadable("fewer bytes than blocks need")
         each = f.restart or mcus
         n = -(-mcus // each)
         if len(bounds) - 1 < n:

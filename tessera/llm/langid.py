@@ -6,7 +6,7 @@ language, corrected for the filter's false positives, decides.
 
 Fitting counts, for every n-gram, the labelled documents of each language that hold it, and keeps those in at least
 ``MIN_SHARE`` of a language's documents. A document of d distinct n-grams adds d to the counts, so no language keeps more
-than (mean d) / MIN_SHARE n-grams whatever the corpus: this bounds the filter that is broadcast. Of each language, about
+than (mean d) / MIN_SHARE n-grams whatever the corpus, and never more than ``MOST_GRAMS``: this bounds the filter that is broadcast. Of each language, about
 ``FIT_DOCS`` labelled documents are used at most, chosen by a hash of the document id.
 """
 
@@ -17,12 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 
 N, HASHES, MIN_SHARE, FIT_DOCS, BITS_PER_GRAM = 4, 3, 0.02, 4000, 16
+#: N-grams that a language's filter holds at most, the most frequent ones.
+MOST_GRAMS = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -36,14 +38,17 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return lower, letter
 
 
-def grams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[str], n: int = N, begins: list[bool] | None = None, ends: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the character n-grams of ``texts``, one text after the other, where each text's begin, and whether it has a letter.
 
-    Anything but letters counts as a space, and runs of spaces as one. N-grams do not reach from one text into another.
+    Anything but letters counts as a space, and runs of spaces as one; a space stands before and after a text, but where
+    ``begins`` or ``ends`` says that it is the later or earlier part of a longer one. N-grams do not reach from one text into another.
     """
     lower, _ = _letters()
-    chars = lower[W.code_points("".join([f" {x} " for x in texts]))]
-    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 2)))
+    begins, ends = begins or [True] * len(texts), ends or [True] * len(texts)
+    padded = [" " * a + x + " " * b for x, a, b in zip(texts, begins, ends, strict=True)]
+    chars = lower[W.code_points("".join(padded))]
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, padded), np.int64, len(padded)))))
     is_letter = chars != 32
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # a letter, or the first space after one
@@ -63,19 +68,32 @@ def grams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndar
     return W.mix(total[valid]), ends, letters > 0
 
 
+def _carried(text: str, cut: int, n: int = N) -> tuple[int, bool]:
+    """Where the part of ``text`` after ``cut`` has to begin, so that its n-grams are those that end after the cut: ``n - 1`` characters before, as ``grams`` counts them; and whether a space before the text is one of them."""
+    kept = 0
+    while cut > 0 and kept < n - 1:
+        cut -= 1
+        kept += text[cut].isalpha() or cut > 0 and text[cut - 1].isalpha()
+    return cut, kept < n - 1
+
+
 def _grouped(texts: list[str], most: int = W.SEGMENT):
-    """Indexes and texts in groups of bounded size, a long text in parts (an n-gram across a cut is not counted)."""
-    index, group, size = [], [], 0
+    """Indexes and texts in groups of bounded size, and whether each begins and ends its text: a long one comes in parts, with every n-gram in one of them."""
+    index, group, begins, ends, size = [], [], [], [], 0
     for i, text in enumerate(texts):
-        for part in (text[k : k + most] for k in range(0, max(1, len(text)), most)):
+        for k in range(0, max(1, len(text)), most):
+            first, whole = _carried(text, k) if k else (0, True)
+            part = text[first : k + most]
             index.append(i)
             group.append(part)
+            begins.append(whole)
+            ends.append(k + most >= len(text))
             size += len(part)
             if size > most:
-                yield np.array(index), group
-                index, group, size = [], [], 0
+                yield np.array(index), (group, N, begins, ends)
+                index, group, begins, ends, size = [], [], [], [], 0
     if group:
-        yield np.array(index), group
+        yield np.array(index), (group, N, begins, ends)
 
 
 @dataclass
@@ -116,7 +134,7 @@ class Filters:
         hits, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         has = np.zeros(len(texts), bool)
         for index, group in _grouped(texts):
-            hashes, bounds, letters = grams(group)
+            hashes, bounds, letters = grams(*group)
             np.logical_or.at(has, index, letters)
             np.add.at(n, index, np.diff(bounds))
             masks = self.containing(hashes)
@@ -139,7 +157,7 @@ def fit(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang: st
     if not sizes:
         return Filters.build({})
     share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, fit_docs / n))))
-    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    rows = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
     def count(batches):
         held: dict[str, list[np.ndarray]] = {}
@@ -156,7 +174,7 @@ def fit(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang: st
                 for language in sorted(set(langs)):
                     own = [t for t, x in zip(texts, langs, strict=True) if x == language]
                     for i, t in enumerate(own):
-                        parts = [np.unique(grams(group)[0]) for _, group in _grouped([t])]
+                        parts = [np.unique(grams(*group)[0]) for _, group in _grouped([t])]
                         found = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
                         held.setdefault(language, []).append(found)
                         size += len(found)
@@ -171,7 +189,9 @@ def fit(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang: st
     if least is None:
         return Filters.build({k: np.empty(0, np.uint64) for k in sizes})
     kept = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")])
-    table = kept.select("lang", "gram").toPandas()
+    # a language keeps no more n-grams than a document has on average, over the least share; this is the bound of the model by number
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    table = kept.withColumn("nth", nth).where(F.col("nth") <= MOST_GRAMS).select("lang", "gram").toPandas()
     return Filters.build({k: table.gram[table.lang == k].to_numpy(np.int64).view(np.uint64) for k in sizes})
 
 
@@ -183,13 +203,14 @@ def identify(docs: DataFrame, filters: Filters, *, id: str = "doc_id", text: str
     in order. One row in, one row out: repeated rows and null ids stay; an empty table gives an empty table.
     """
     model = docs.sparkSession.sparkContext.broadcast(filters)
-    schema = docs.select(F.col(id).alias("__id"), *keep).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
+    names = [f"c{i}" for i in range(len(keep) + 1)]  # columns go by place: any of their names may be one of the result's
+    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip((id, *keep), names, strict=True)), F.col(f"`{text}`").alias("text"))
+    schema = given.drop("text").schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch, "__text"):
-                lang, score, n = model.value.predict([x or "" for x in part.column("__text").to_pylist()])
-                rest = [c for c in part.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], [*rest, "lang_pred", "score", "n_grams"])
+            for part in W.slices(batch, "text"):
+                lang, score, n = model.value.predict([x or "" for x in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], [*names, "lang_pred", "score", "n_grams"])
 
-    return docs.select(F.col(id).alias("__id"), *keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__id", id)
+    return given.mapInArrow(run, schema).toDF(id, *keep, "lang_pred", "score", "n_grams")

@@ -15,6 +15,8 @@ from tessera.llm import words as W
 
 #: Bytes of payload that a task works on at once (one longer text is worked on alone).
 AT_ONCE = 3 << 19
+#: What a file that is no baseline JPEG may make the decoder raise.
+DAMAGED = (jpeg.Unreadable, ArithmeticError, IndexError, KeyError, MemoryError, ValueError)
 
 
 def padded(raw: bytes) -> bytes:
@@ -66,7 +68,7 @@ def read_media(table: DataFrame, *, id: str = "doc_id", media: str = "media") ->
             return (None,) * 9 + ("null",)
         try:
             return look(file, jpeg.decode([file])[0])
-        except (jpeg.Unreadable, IndexError, KeyError, ValueError) as e:
+        except DAMAGED as e:
             return (None, None, None, len(file), hashlib.sha256(file).hexdigest(), None, None, None, None, f"{type(e).__name__}: {e}")
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "thumb_hash", "feature", "error"]
@@ -78,7 +80,7 @@ def read_media(table: DataFrame, *, id: str = "doc_id", media: str = "media") ->
                 files = part.column("media").to_pylist()
                 try:
                     rows = [look(f, got) for f, got in zip(files, jpeg.decode(files), strict=True)]
-                except (jpeg.Unreadable, IndexError, KeyError, ValueError, TypeError):  # one of them is damaged: each by itself
+                except (*DAMAGED, TypeError):  # one of them is damaged: each by itself
                     rows = [one(f) for f in files]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(c) for c in passed), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", *passed, *names])

@@ -34,18 +34,23 @@ WIDE = 128
 #: Penalties of a cut in tokens of padding, and tokens in a block. Within a stretch without a sentence end of over
 #: ``window // WIDE`` tokens, cuts may fall every ``window // (4 * WIDE)`` tokens.
 SENTENCE, ANYWHERE, BLOCK = 16, 64, 1 << 20
+#: Signs that end a sentence, of Latin, Armenian, Arabic, Indic, Ethiopic, Burmese, Khmer and East Asian texts.
+SENTENCE_ENDS = ".!?…։؟۔।॥።፧။៕。！？｡"
 
 
 @lru_cache(maxsize=2)
 def _sentence_ends(path: str) -> np.ndarray:
-    """For each id, whether its token ends a word and a sentence."""
+    """For each id, 1 if its token ends a sentence, 2 if it is a number or begins with a digit, else 0."""
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(path).get_vocab()
-    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out = np.zeros(max(vocabulary.values()) + 1, np.int8)
+    byte_of = {letter: byte for byte, letter in T._byte_letters().items()}
     for token, i in vocabulary.items():
-        word = token.removesuffix("</w>")
-        out[i] = word != token and word[-1:] in (".", "!", "?")
+        letters = token.removesuffix("</w>")
+        word = bytes(byte_of.get(c, 32) for c in letters).decode("utf-8", "ignore")
+        # scripts without spaces put their signs within a pre-token's run of other signs, at its end or not
+        out[i] = 2 if word[:1].isdigit() else word[-1:] in SENTENCE_ENDS and bool(word) and (letters != token or not word.isascii())
     return out
 
 
@@ -98,7 +103,8 @@ class _Stream:
             return
         ids = np.concatenate(self.ids)
         doc_ends = np.cumsum([d[3] for d in self.docs])
-        sentence = np.flatnonzero(self.ends[ids]) + 1
+        kind = self.ends[ids]
+        sentence = np.flatnonzero((kind[:-1] == 1) & (kind[1:] != 2)) + 1  # a point before a digit ends nothing
         positions = np.unique(np.concatenate(([0], sentence, doc_ends)))
         fees = np.full(len(positions), SENTENCE, np.int64)
         fees[np.searchsorted(positions, doc_ends)] = 0

@@ -4,12 +4,17 @@ Candidates are marked in a text by one regular expression, cut out with their su
 features and scored, all within the row: no shuffle, no explode before the end, no Python. The forest is trained by Spark
 ML from labelled findings and then written out as a column expression, so scoring is part of the plan.
 
-Features: length, transitions between character classes, shares of digits, upper case and hex digits, distinct characters,
-the share covered by dictionary words, the path, and the neighbouring words and signs.
+Features: length, transitions between character classes, the likelihood of the steps from character to character (learned
+from the findings), shares of digits, upper case and hex digits, distinct characters, the share covered by dictionary
+words, the path, and the neighbouring words and signs.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,15 +32,51 @@ PATTERN = (
 )
 #: Words that speak for and against a secret in the text around, and words that make a value a placeholder or a name.
 NEAR_GOOD, NEAR_BAD = rf"(?i){KEYWORDS}|bearer|signing", r"(?i)example|sample|dummy|placeholder|test|fake|sha1|sha256|md5|checksum|commit|digest|hash|uuid|guid|version|card|phone|order|invoice|isbn"
-DICTIONARY = "example|sample|changeme|change|placeholder|password|secret|token|your|here|test|dummy|fake|insert|replace|default|user|admin|none|null|true|false|value|string|name|file|path|this|that|with|from|have|http|www|com|version|config|xxxx|0000|1234|abcd"
+#: Words that names, placeholders and sentences are made of: of programs and settings, and common English ones of four letters or more.
+DICTIONARY = (
+    "access|account|active|address|admin|alpha|array|auth|author|backup|basic|batch|beta|block|build|bucket|cache|category|change|changeme|channel|client|cluster|code|column|commit|common|config|connect|content|"
+    "count|create|current|customer|data|database|date|default|delete|deploy|description|detail|device|direct|disable|document|domain|dummy|email|enable|error|event|example|export|fake|false|feature|field|file|"
+    "filter|folder|format|frame|function|global|group|handler|header|here|host|image|import|index|input|insert|internal|invoice|item|label|language|large|level|library|limit|list|local|login|main|manager|master|"
+    "memory|message|method|model|module|name|network|node|none|null|number|object|option|order|output|page|parent|password|path|payment|photo|placeholder|plugin|point|policy|port|print|private|process|product|"
+    "profile|project|public|query|queue|random|record|region|release|remote|replace|report|request|resource|response|result|review|role|root|route|sample|schema|script|search|secret|section|select|server|service|session|"
+    "setting|shared|small|source|stage|start|state|static|status|storage|stream|string|system|table|target|task|team|template|test|text|thing|this|time|title|token|total|true|type|update|upload|user|value|version|"
+    "video|view|virtual|volume|website|window|worker|about|after|again|also|because|been|before|being|between|both|could|down|each|even|every|first|from|good|great|have|into|just|know|last|like|long|made|make|many|"
+    "more|most|much|must|never|only|other|over|people|same|should|some|such|take|than|that|their|them|then|there|these|they|three|through|under|very|want|water|well|were|what|when|where|which|while|will|with|word|"
+    "work|would|write|year|your|http|www|com|xxxx|0000|1234|abcd"
+)
 PATH_BAD = r"(?i)test|example|sample|fixture|mock|doc|readme"
-FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "distinct", "dictionary", "placeholder", "prefixed", "assigned", "quoted", "near_good", "near_bad", "path_bad", "key_block"]
+FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "distinct", "dictionary", "placeholder", "prefixed", "assigned", "quoted", "near_good", "near_bad", "path_bad", "key_block", "likelihood"]
+#: Kinds of characters whose transitions are told apart: others, 26 lower-case letters, digits, upper-case letters.
+KINDS = 29
 BEFORE, AFTER, CHUNK = 48, 24, 256
 THRESHOLD = 0.5
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> Column:
-    """The features of a candidate as an array of doubles, in the order of ``FEATURES``."""
+def transitions(value: Column) -> Column:
+    """The steps from each character to the next as an array of numbers below ``KINDS`` squared; null for fewer than two characters."""
+
+    def kind(c: Column) -> Column:
+        n = F.ascii(c)
+        return F.when((n >= 97) & (n <= 122), n - 96).when((n >= 48) & (n <= 57), F.lit(27)).when((n >= 65) & (n <= 90), F.lit(28)).otherwise(F.lit(0))
+
+    return F.when(F.length(value) > 1, let(F.transform(F.split(value, ""), kind), lambda k: F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k) - 1), lambda a, b: a * KINDS + b)))
+
+
+def likelihoods(findings: DataFrame) -> list[float]:
+    """For each step, the logarithm of how much likelier it is in a secret than in another candidate, learned from labelled findings.
+
+    The table has ``KINDS`` squared numbers whatever the findings; a step that neither has seen counts for nothing.
+    """
+    steps = findings.where("label is not null").select(F.col("label").cast("double").alias("label"), F.explode(transitions(F.coalesce("value", F.lit("")))).alias("t"))
+    seen = {r["t"]: (r["y"], r["n"]) for r in steps.groupBy("t").agg(F.sum("label").alias("y"), F.sum(1 - F.col("label")).alias("n")).collect()}
+    total = [sum(v[k] for v in seen.values()) + KINDS * KINDS for k in (0, 1)]
+    return [round(math.log((seen[t][0] + 1) / total[0]) - math.log((seen[t][1] + 1) / total[1]), 3) if t in seen else 0.0 for t in range(KINDS * KINDS)]
+
+
+def features(value: Column, before: Column, after: Column, path: Column, table: list[float]) -> Column:
+    """The features of a candidate as an array of doubles, in the order of ``FEATURES``; ``table`` is that of ``likelihoods``."""
+    odds = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    likelihood = let(transitions(value), lambda t: F.aggregate(t, F.lit(0.0), lambda acc, k: acc + odds[k]) / F.size(t))
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "l"), "[A-Z]+", "U"), "[0-9]+", "9"), "[^lU9]+", "+")
@@ -57,6 +98,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         flag(F.concat(before, F.lit(" "), after).rlike(NEAR_BAD)),
         flag(path.rlike(PATH_BAD)),
         flag(value.startswith("-----BEGIN")),
+        F.coalesce(likelihood, F.lit(0.0)),
     )
 
 
@@ -112,7 +154,7 @@ def placed(parts: Column) -> Column:
 def scored(parts: Column, path: Column, score) -> Column:
     """The candidates of ``marked`` parts with their probability: an array of (start, length, value, probability)."""
     where = F.coalesce(path, F.lit(""))
-    known = F.transform(placed(parts), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), features(c["value"], c["before"], c["after"], where).alias("x")))
+    known = F.transform(placed(parts), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), features(c["value"], c["before"], c["after"], where, score.table).alias("x")))
     return F.transform(known, lambda c: F.struct(c["start"].alias("start"), F.length(c["value"]).alias("length"), c["value"].alias("value"), score(c["x"]).alias("probability")))
 
 
@@ -147,17 +189,30 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 
 
 def train(findings: DataFrame, *, trees: int = 16, depth: int = 6, seed: int = 7):
-    """A Spark ML random forest of labelled findings (value, before, after, path, label); a null counts as empty."""
+    """A Spark ML random forest of labelled findings (value, before, after, path, label; a null counts as empty), and its table of likelihoods."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     c = lambda name: F.coalesce(F.col(name), F.lit(""))
-    rows = findings.where(F.col("label").isNotNull()).select(array_to_vector(features(c("value"), c("before"), c("after"), c("path"))).alias("features"), F.col("label").cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    table = likelihoods(findings)
+    rows = findings.where(F.col("label").isNotNull()).select(array_to_vector(features(c("value"), c("before"), c("after"), c("path"), table)).alias("features"), F.col("label").cast("double").alias("label"))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows), table
+
+
+@dataclass(frozen=True)
+class Score:
+    """A function from an array of features to a column, and the table of likelihoods that the features need."""
+
+    of: Callable[[Column], Column]
+    table: list[float]
 
+    def __call__(self, x: Column) -> Column:
+        return self.of(x)
 
-def as_column(model):
-    """The forest as a function from an array of features to a column: the mean of its trees' shares of secrets."""
+
+def as_column(trained) -> Score:
+    """The forest that ``train`` gives as a column: the mean of its trees' shares of secrets."""
+    model, table = trained
 
     def tree(node, x: Column) -> Column:
         if node.getClass().getSimpleName() == "LeafNode":
@@ -167,7 +222,7 @@ def as_column(model):
         return F.when(x[split.featureIndex()] <= F.lit(float(split.threshold())), tree(node.leftChild(), x)).otherwise(tree(node.rightChild(), x))
 
     roots = [t._call_java("rootNode") for t in model.trees]
-    return lambda x: reduce(lambda a, b: a + b, (tree(r, x) for r in roots)) / F.lit(float(len(roots)))
+    return Score(lambda x: reduce(lambda a, b: a + b, (tree(r, x) for r in roots)) / F.lit(float(len(roots))), table)
 
 
 def _source(path: str | None) -> Column:
@@ -184,7 +239,11 @@ def with_findings(docs: DataFrame, score, *, text: str = "text", path: str | Non
 
 
 def findings(docs: DataFrame, score, *, id: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per candidate: ``id``, start, length (characters), value_sha256, probability, is_secret. Documents without candidates give none; repeated rows give theirs each."""
+    """One row per candidate: ``id``, start, length (characters), value_sha256, probability, is_secret.
+
+    Documents without candidates, null and empty texts give none; repeated rows give theirs each, null ids stay. A null path is an
+    empty one. Other columns are not read, whatever their names. An empty table gives an empty result.
+    """
     # exploded as an expression: of a column, Spark would infer a filter on its size and evaluate it twice
     found = let(marked(F.col(text)), lambda parts: scored(parts, _source(path), score))
     rows = docs.select(F.col(id).alias("id"), F.explode(found).alias("f"))

@@ -276,11 +276,14 @@ def worker_encoder(path: str, first) -> Encoder:
 
 
 def frequent(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_DOCS, longest: int = SAMPLE_CHARS, most: int = MOST_FREQUENT) -> dict:
-    """The first tier: the ids of the most frequent pre-tokens of the first ``sample`` documents of at most ``longest`` characters, packed for a broadcast.
+    """The first tier: the ids of the most frequent pre-tokens of about ``sample`` documents, those of at most ``longest`` characters, packed for a broadcast.
 
-    The sample is read from as few partitions as hold it, and has a fixed bound; which documents it holds changes no count.
+    The sample is drawn from all partitions, by chance with a fixed seed, and is twice ``sample`` at most; which documents it
+    holds changes no count.
     """
-    rows = docs.select(F.col(text).alias("text")).where(F.length("text") <= longest).limit(sample).collect()
+    rows = docs.select(F.col(f"`{text}`").alias("text"))
+    share = min(1.0, sample / max(1, rows.count()))
+    rows = rows.sample(share, 7).where(F.length("text") <= longest).limit(2 * sample).collect()
     seen: dict[int, list] = {}
     for _, split in Encoder.splits([r["text"] for r in rows]):
         keys, at, n = np.unique(split.hashes, return_index=True, return_counts=True)
@@ -314,4 +317,4 @@ def token_counts(docs: DataFrame, path: str, *, id: str = "doc_id", text: str =
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id)
+    return rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").toDF(id, "n_bytes", "n_tokens", "over_limit")

@@ -29,6 +29,8 @@ from tessera.llm.scratch import written
 RECORDS = 2048
 #: Slots of the bit table that tells payloads that certainly are single. More shared payloads only make it let more through.
 BITS = 1 << 22
+#: Bytes of a gzip member that are decompressed at once.
+PIECE = 1 << 14
 END = b"\r\n\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -87,8 +89,6 @@ def _record(data: bytes, at: int, need_end: bool) -> tuple[dict, int] | str:
     head_end = data.find(END, at)
     if head_end < 0:
         return "the header has no end"
-    if head_end - at > 1 << 16:
-        return "the header is too long"
     head = {}
     for x in data[line.end() : head_end].split(b"\r\n"):
         name, colon, value = x.partition(b":")
@@ -129,17 +129,21 @@ def _record(data: bytes, at: int, need_end: bool) -> tuple[dict, int] | str:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     """The gzip member at ``at``, decompressed, and where it ends; or why not."""
-    d = zlib.decompressobj(31)
+    d, out = zlib.decompressobj(31), []
     try:
-        out = d.decompress(memoryview(data)[at:])
+        while at < len(data) and not d.eof:  # in pieces: what is left over after the end is copied
+            piece = data[at : at + PIECE]
+            out.append(d.decompress(piece))
+            at += len(piece)
     except zlib.error as e:
         return f"a member does not decompress: {e}"
-    return (out, len(data) - len(d.unused_data)) if d.eof else "a member is cut off"
+    return (b"".join(out), at - len(d.unused_data)) if d.eof else "a member is cut off"
 
 
 def records(data: bytes) -> Iterator[dict]:
     """Rows of kind ``record`` or ``gap``, in order, with the bytes (offset, length) that each covers in ``data``."""
     at, bad = 0, None  # bad: (start, reason) of the gap at hand
+    line, gz = -1, -1  # the next places where a record may begin, looked for once
     while at < len(data):
         if data.startswith(b"\x1f\x8b\x08", at):
             got = _member(data, at)
@@ -153,8 +157,13 @@ def records(data: bytes) -> Iterator[dict]:
             found = _record(data, at, True)
         if isinstance(found, str):
             bad = bad or (at, found)
-            line, gz = _VERSION.search(data, at + 1), data.find(b"\x1f\x8b\x08", at + 1)
-            at = min((x for x in (line.start() if line else -1, gz) if x > at), default=len(data))
+            if line <= at:
+                found = _VERSION.search(data, at + 1)
+                line = found.start() if found else len(data)
+            if gz <= at:
+                gz = data.find(b"\x1f\x8b\x08", at + 1)
+                gz = len(data) if gz < 0 else gz
+            at = min(line, gz)
             continue
         if bad:
             yield {"kind": "gap", "offset": bad[0], "length": at - bad[0], "reason": bad[1]}

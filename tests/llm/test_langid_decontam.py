@@ -103,7 +103,7 @@ def test_leaks_are_found_and_clean_texts_left(spark, bench, most):
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_every_overlap_that_the_verdict_accepts_is_found(spark, most):
     rng = random.Random(12)
-    sizes = [*range(8, 17), 24, 40]
+    sizes = [*range(3, 17), 24, 40]  # those of fewer than nine words are found whole
     items = [[f"q{rng.randint(0, 10**6)}" for _ in range(n)] for n in sizes for _ in range(8)]
     docs = []
     for words in items:
@@ -117,13 +117,13 @@ def test_every_overlap_that_the_verdict_accepts_is_found(spark, most):
     want = {}
     for i, x in enumerate(a):
         for j, y in enumerate(b):
-            if len(np.intersect1d(x, y)) >= decontam.LEAST:
+            if len(np.intersect1d(x, y)) >= min(decontam.LEAST, len(y)):
                 if best := max(filter(None, (decontam.verdict(x, y, s) for s in range(-len(y) + 1, len(x)))), default=None):
                     want[i, j] = best[0]
     frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
     got = {(r.doc_id, r.item_id): r.matches for r in decontam.leaks(*frames, most_broadcast=most).collect()}
     assert got == want
-    assert {len(items[j]) for _, j in want} == set(sizes[1:]) and sum(len(items[j]) < 12 for _, j in want) > 30
+    assert {len(items[j]) for _, j in want} == set(sizes) and sum(len(items[j]) < 12 for _, j in want) > 30
 
 
 @pytest.mark.parametrize("most", [10**6, 0])
@@ -159,3 +159,36 @@ def test_words_and_shingles_of_any_segmenting(monkeypatch):
     s, ends = W.shingles(*whole)
     counts = np.diff(whole[1])
     assert (np.diff(ends) == np.where(counts >= 5, counts - 4, np.minimum(counts, 1))).all() and len(s) == ends[-1]
+
+
+def test_n_grams_of_a_long_text_are_those_of_the_whole():
+    rng = random.Random(8)
+    for alphabet in ("ab é.", "a ", "a....", "abcdefgh", "12 .", "ß中文 x"):
+        for n in (0, 1, 3, 30, 200):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            whole, _, letters = langid.grams([text])
+            for most in (1, 2, 5, 17):
+                parts = [langid.grams(*group) for _, group in langid._grouped([text, "next one"], most)]
+                got = np.concatenate([p[0] for p in parts])
+                assert (got == np.concatenate((whole, langid.grams(["next one"])[0]))).all(), (text, most)
+                assert any(p[2].any() for p in parts)
+
+
+def test_a_column_named_as_a_result_stays(spark, labelled):
+    filters = langid.fit(labelled)
+    rows = labelled.limit(3).withColumn("score", F.lit("mine")).withColumn("n_grams", F.lit(1))
+    got = langid.identify(rows, filters, keep=("lang", "score", "n_grams"))
+    assert got.columns == ["doc_id", "lang", "score", "n_grams", "lang_pred", "score", "n_grams"] and {r[2] for r in got.collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_a_seed_that_many_items_and_texts_share(spark, most):
+    """Above the limit of a broadcast too, with one run of words in every item and every text."""
+    rng = random.Random(14)
+    line = [f"l{i}" for i in range(10)]
+    some = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    items = [some(3) + line + some(2) for _ in range(40)]
+    docs = [some(20) + (items[i % 40] if i % 2 else line) + some(20) for i in range(120)]
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): r.matches for r in decontam.leaks(*frames, most_broadcast=most).collect()}
+    assert len(got) == 120 * 40 and all(m == (15 if d % 2 and d % 40 == i else 10) for (d, i), m in got.items())

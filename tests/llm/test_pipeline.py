@@ -66,3 +66,25 @@ def test_oracles(spark):
         names = [c[0] for c in want.description]
         key = lambda r: [str(v) for v in r]
         assert sorted(got, key=key) == sorted((tuple(r[names.index(c)] for c in df.columns) for r in want.fetchall()), key=key), name
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd, empty, which, tmp_path):
+    docs = {"odd": odd, "empty": empty}[which]
+    names = ["__key", "key", "lang_pred", "n_grams", "class_id", "links", "copies", "item_id", "c0", "c1", "h", "__id"]
+    docs = docs.withColumns({c: docs.n_chars for c in names})
+    spark.createDataFrame([(1, "word"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(map(str, df.collect()))
+    given = rows(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    if which == "empty":
+        assert all(stage(spark, docs, str(tmp_path)).count() == 0 for stage in stages.values())
+        return
+    ids = lambda name: sorted((r.doc_id for r in stages[name](spark, docs, str(tmp_path)).collect()), key=str)
+    assert ids("language_id") == [1, 1, 5, 6, 7, 8]  # those without a letter go, and that of a language which was not learned
+    assert ids("near_duplicates") == [1, 2, 3, 4, 5, 7, 8, None]  # 6 is like 1, whose repeated row goes
+    assert ids("decontamination") == [1, 1, 2, 3, 4, 6, 7, 8, None]  # 5 is the item
+    assert len(rows(stages["secrets"](spark, docs, str(tmp_path)))) == len(given)
+    assert {r.doc_id for r in stages["packing"](spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4, 5, 6, 7, 8, None}

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 
 import pytest
@@ -100,7 +101,7 @@ def test_dice_against_brute_force(spark):
 
 def test_licences_odd_rows(odd, empty, spark):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0 and licenses.scan(odd, ()).count() == 0
-    text = "Intro words here.\n" + licenses.TEMPLATES[4][1].replace(",", " ,\n") + "\nThe end. Released under the MIT License."
+    text = "Intro words here.\n" + next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200).replace(",", " ,\n") + "\nThe end. Released under the MIT License."
     df = spark.createDataFrame([(1, text), (1, text), (2, "licensed UNDER the apache   license version 2 0")], "doc_id long, text string")
     got = sorted((r.doc_id, r.license, round(r.dice, 3)) for r in licenses.scan(df).collect())
     assert got == [(1, "MIT", 1.0), (1, "MIT", 1.0), (2, "Apache-2.0", 1.0)]
@@ -117,11 +118,25 @@ def test_forest_as_a_column_equals_the_model(spark):
     rows = secrets.labelled_findings(spark, 1500)
     train, held = rows.where(F.pmod(F.xxhash64("value"), F.lit(4)) != 0), rows.where(F.pmod(F.xxhash64("value"), F.lit(4)) == 0)
     model = secrets.train(train)
-    x = secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
-    got = model.transform(held.withColumn("features", array_to_vector(x))).select(vector_to_array("probability")[1].alias("p"), secrets.as_column(model)(x).alias("q"), "label").collect()
+    x = secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"), model[1])
+    got = model[0].transform(held.withColumn("features", array_to_vector(x))).select(vector_to_array("probability")[1].alias("p"), secrets.as_column(model)(x).alias("q"), "label").collect()
     assert all(abs(r.p - r.q) < 1e-9 for r in got)
     right = sum((r.q > 0.5) == (r.label > 0.5) for r in got) / len(got)
     assert right > 0.97  # held-out accuracy
+    caught = [r for r in got if r.q > 0.5]
+    precision, recall = sum(r.label for r in caught) / len(caught), sum(r.label for r in caught) / sum(r.label for r in got)
+    assert precision > 0.97 and recall > 0.97, (precision, recall)
+
+
+def test_likelihoods_of_steps(spark):
+    import math
+
+    rows = spark.createDataFrame([("ab1", 1.0), ("abX", 0.0), ("a", 1.0), (None, 0.0), ("", 1.0), ("zz", None), ("ab-", 0.0)], "value string, label double")
+    table = secrets.likelihoods(rows)
+    n = secrets.KINDS
+    step = lambda a, b: a * n + b
+    assert table[step(1, 2)] == round(math.log(2 / (2 + n * n)) - math.log(3 / (4 + n * n)), 3) and table[step(26, 26)] == 0.0
+    assert table[step(2, 27)] > 0 > table[step(2, 28)] and table[step(2, 0)] < 0 and len(table) == n * n
 
 
 def test_findings_and_redaction(spark, score):
@@ -207,3 +222,53 @@ def test_candidates_are_whole_whatever_their_length(spark, score):
         assert found[i].length == len(v) and found[i].value_sha256 == hashlib.sha256(v.encode()).hexdigest()
         assert clean[i] == (f"{b}[SECRET]{a}" if found[i].is_secret else b + v + a), i
     assert all(found[i].is_secret for i in range(len(values)))
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://x/" + "a" * 70_000, "<p>one</p>"), (2, "u", "two")], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    rows = {r.record_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert set(rows) == {"<urn:page:1>", "<urn:page:2>"} and len(rows["<urn:page:1>"].target) == 70_009
+
+
+def test_time_grows_with_the_archive_not_with_its_square():
+    import gzip
+    import time
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 300\r\n\r\n" + b"x" * 300 + b"\r\n\r\n"
+    member = gzip.compress(one)
+    broken = member[:40] + b"\x00" * 10 + member[50:]
+
+    def seconds(n):
+        data = (member * 9 + broken) * (n // 10)
+        began = time.process_time()
+        kinds = [r["kind"] for r in warc.records(data)]
+        assert kinds.count("record") == n // 10 * 9 and kinds.count("gap") == n // 10
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(20_000) < 25 * seconds(2_000)
+
+
+def test_every_template_is_found_in_a_long_text_and_by_itself(spark, tmp_path):
+    rng = random.Random(17)
+    some = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{some(rng.randrange(300))}\n{t}\n{some(300)}") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get((i, name)) == 1.0 for i, (name, _) in enumerate(licenses.TEMPLATES))
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this as you like, and must tell nobody about it.")
+    (tmp_path / "Other-2.0").write_text("All of this is ours and none of it is yours to take away.")
+    own = licenses.read_templates(spark, str(tmp_path))
+    assert [n for n, _ in own] == ["Other-2.0", "Own-1.0"]
+    found = licenses.scan(spark.createDataFrame([(1, f"{some(9)} {own[1][1]} {some(9)}")], "doc_id long, text string"), own).collect()
+    assert [(r.license, r.dice) for r in found] == [("Own-1.0", 1.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_full_texts(spark):
+    own = [(n, t) for n, t in licenses.read_templates(spark, "/usr/share/common-licenses") if n in ("Apache-2.0", "GPL-3", "MPL-2.0", "LGPL-2.1", "Artistic")]
+    words = own[1][1].split()
+    words[100:130] = ["other"] * 30
+    rows = [(i, t) for i, (_, t) in enumerate(own)] + [(9, " ".join(words))]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tuple(own)).collect()}
+    assert all(got[i, n] == 1.0 for i, (n, _) in enumerate(own)) and 0.9 < got[9, own[1][0]] < 1.0
