@@ -29,6 +29,8 @@ from tessera.llm.scratch import written
 
 THRESHOLD, TOLERANCE, HASHES, ROWS, BLOCK = 0.8, 1e-6, 96, 4, 512
 STEPS = (16, 32, 64, 96)
+#: Shingles (8 bytes each) in a block of classes that are verified together.
+BLOCK_SHINGLES = 1 << 20
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -78,12 +80,11 @@ def run_pairs(run: np.ndarray, block: np.ndarray, mixed: np.ndarray):
             yield i, i + d
 
 
-def _units(rows: DataFrame, size: str, node: str, block: int) -> DataFrame:
-    """``rows`` with the pairs of blocks (bi, bj) that each takes part in; a group of at most ``block`` rows is one block."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    rows = rows.withColumn("nb", n).withColumn("block", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
+def _units(rows: DataFrame, blocks: str, node: str) -> DataFrame:
+    """``rows`` with the pairs of blocks (bi, bj) that each takes part in; ``blocks``: into how many its group is cut."""
+    rows = rows.withColumn("nb", F.col(blocks).cast("int")).withColumn("block", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))
-    return rows.withColumn("unit", F.explode(unit)).select("*", "unit.bi", "unit.bj").drop("unit", "nb", size)
+    return rows.withColumn("unit", F.explode(unit)).select("*", "unit.bi", "unit.bj").drop("unit", "nb", blocks)
 
 
 def _matrix(column, dtype, width: int) -> np.ndarray:
@@ -124,9 +125,9 @@ def _candidates(classes: DataFrame, threshold: float, tolerance: float, block: i
     bands = HASHES // ROWS
     hex_ = lambda i: F.conv(F.hex(F.substring("sig", 1 + 2 * ROWS * i, 2 * ROWS)), 16, -10).cast("long")
     rows = classes.select("node", F.posexplode(F.array(*(hex_(i) for i in range(bands)))).alias("band", "value"))
-    met = rows.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
+    met = rows.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1").select("band", "value", F.ceil(F.col("size") / F.lit(block)).alias("blocks"))
     rows = rows.join(met, ["band", "value"]).join(classes.select("node", "sig"), "node")
-    rows = _units(rows, "size", "node", block).select("band", "value", "bi", "bj", "block", "node", "sig")
+    rows = _units(rows, "blocks", "node").select("band", "value", "bi", "bj", "block", "node", "sig")
     keys = ["band", "value", "bi", "bj"]
 
     def run(batches):
@@ -172,10 +173,12 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verified(docs: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: float, tolerance: float, block: int, id: str, text: str) -> DataFrame:
     """Rows (node, other, links): spanning edges of verified links (links null), and for each class the documents that a pair of blocks links it to (other null)."""
-    sized = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    members = grouped.join(sized, "component").join(classes.select("node", "key", "copies", "s1", "s2", "sig"), "node")
+    members = grouped.join(classes.select("node", "key", "copies", "n", "s1", "s2", "sig"), "node")
+    # a block has a bounded number of classes and, but for what one very long text has, of shingles
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("blocks")
+    members = members.join(members.groupBy("component").agg(blocks), "component")
     rows = docs.select(_key(id, text).alias("key"), F.col(text).alias("text")).join(members, "key")
-    names = ["component", "size", "node", "copies", "sig"]
+    names = ["component", "blocks", "node", "copies", "sig"]
 
     def sets(batches):
         for batch in batches:
@@ -191,9 +194,9 @@ def _verified(docs: DataFrame, classes: DataFrame, grouped: DataFrame, threshold
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.array(out, pa.binary())], [*names, "shingles"])
 
-    rows = rows.mapInArrow(sets, "component long, size long, node long, copies long, sig binary, shingles binary")
+    rows = rows.mapInArrow(sets, "component long, blocks long, node long, copies long, sig binary, shingles binary")
     keys = ["component", "bi", "bj"]
-    rows = _units(rows, "size", "node", block).select(*keys, "block", "node", "copies", "sig", "shingles")
+    rows = _units(rows, "blocks", "node").select(*keys, "block", "node", "copies", "sig", "shingles")
 
     def run(batches):
         for t in W.runs(batches, keys):
