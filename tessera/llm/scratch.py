@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def dropped(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of jobs that are done: it does so for what the driver has collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
