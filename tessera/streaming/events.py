@@ -30,46 +30,62 @@ def matching(frames: DataFrame, where: dict[str, Any]) -> DataFrame:
     return rows.where((F.col("op") == "CLEAR") | F.col("__doc").isNull() | matches(DocumentFields("__doc"), where)).drop("__doc")
 
 
-_STATE = "payload string, expires_at long"
+_STATE = "tables array<string>, keys array<string>, payloads array<string>, ends array<long>"
 _EVENT = "frame_id long, ts long, op string, `table` string, key string, payload string, before string"
+#: Keys are dealt to so many groups, each with one state: a call of Python for each key would cost more than its frames.
+GROUPS = 1024
 
 
-def with_before(frames: DataFrame, expires: str | None = None, late: str = "0 seconds") -> DataFrame:
-    """Writes with the record that their key had ``before``, kept as state for each key: frame_id, ts, op, table, key, payload, before.
+def with_before(frames: DataFrame, expires: str | None = None, late: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
+    """Writes with the record that their key had ``before``, kept as state: frame_id, ts, op, table, key, payload, before.
 
     ``expires``: the field of a record with the time in milliseconds at which it ends. Once the stream's time (the largest
     ``ts`` less ``late``) has passed it, an event of op EXPIRE (frame_id null, ts the end, the record in ``before``) is
     given and the record forgotten; a write without the field ends it never. The frames of a micro-batch are taken in their
     order. Frames whose ``ts`` is not after the stream's time are late and left out; a CLEAR is of no key and is not seen.
+    The records of all keys of a group are one state, written anew with every micro-batch that has frames of it; ``groups``
+    stays as it is while a checkpoint is in use.
     """
 
-    def step(key, batches, state):
-        kept = state.get if state.exists else (None, None)
-        out = []
-        if state.hasTimedOut:
-            out.append((None, kept[1], "EXPIRE", *key, None, kept[0]))
+    def step(_, batches, state):
+        kept = {(t, k): (p, e) for t, k, p, e in zip(*state.get, strict=True)} if state.exists else {}
+        now, out, written_now = state.getCurrentWatermarkMs(), [], set()
+
+        def ended(name):
+            payload, end = kept.pop(name)
+            out.append((None, end, "EXPIRE", *name, None, payload))
+
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values("frame_id", kind="stable")
+            whole = lambda c: [None if n else int(v) for v, n in zip(rows[c].tolist(), rows[c].isna().tolist(), strict=True)]
+            names = zip(rows["table"].tolist(), rows["key"].tolist(), strict=True)
+            for frame, ts, op, name, payload, end in zip(whole("frame_id"), whole("ts"), rows["op"].tolist(), names, rows["payload"].tolist(), whole("end"), strict=True):
+                before, until = kept.get(name, (None, None))
+                if until is not None and until <= ts:  # it ended before this write
+                    ended(name)
+                    before = None
+                out.append((frame, ts, op, *name, payload, before))
+                written_now.add(name)
+                if op == "DELETE" or payload is None:
+                    kept.pop(name, None)
+                else:
+                    kept[name] = (payload, end)
+        for name in [n for n, (_, end) in kept.items() if end is not None and end < now and n not in written_now]:
+            ended(name)
+        if kept:
+            state.update(tuple(map(list, zip(*((*name, *record) for name, record in kept.items()), strict=True))))
+            ends = [end for _, end in kept.values() if end is not None]
+            if ends:
+                state.setTimeoutTimestamp(max(min(ends), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("frame_id", kind="stable")
-            for r in rows.itertuples(index=False):
-                if kept[1] is not None and kept[1] <= r.ts:  # it ended before this write
-                    out.append((None, kept[1], "EXPIRE", *key, None, kept[0]))
-                    kept = (None, None)
-                out.append((r.frame_id, r.ts, r.op, *key, r.payload, kept[0]))
-                kept = (None, None) if r.op == "DELETE" else (r.payload, None if pd.isna(r.end) else int(r.end))
-            if kept[0] is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(kept)
-                if kept[1] is not None:
-                    state.setTimeoutTimestamp(max(kept[1], state.getCurrentWatermarkMs() + 1))
         table = pd.DataFrame(out, columns=["frame_id", "ts", "op", "table", "key", "payload", "before"])
         yield table.astype({"frame_id": "Int64", "ts": "Int64"})
 
     end = F.try_variant_get(F.try_parse_json("payload"), f"$.{expires}", "long") if expires else F.lit(None).cast("long")
-    rows = frames.where(F.col("op").isin("INSERT", "UPDATE", "DELETE")).select("frame_id", "ts", "op", "table", "key", "payload", end.alias("end"), F.timestamp_millis("ts").alias("time")).withWatermark("time", late)
-    return rows.groupBy("table", "key").applyInPandasWithState(step, _EVENT, _STATE, "append", "EventTimeTimeout")
+    group = F.pmod(F.xxhash64("table", "key"), F.lit(groups)).cast("int").alias("group")
+    rows = frames.where(F.col("op").isin("INSERT", "UPDATE", "DELETE")).select("frame_id", "ts", "op", "table", "key", "payload", end.alias("end"), F.timestamp_millis("ts").alias("time"), group).withWatermark("time", late)
+    return rows.groupBy("group").applyInPandasWithState(step, _EVENT, _STATE, "append", "EventTimeTimeout")
 
 
 def subscribe(events: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False):

@@ -212,6 +212,30 @@ def test_expiry_in_a_stream(spark, tmp_path):
     assert sum(x[2] == "EXPIRE" for x in got) == 2
 
 
+def test_keys_of_a_stream_share_states(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put = lambda i, ts, key, end=None: json.dumps({"frame_id": i, "ts": ts, "op": "UPDATE", "table": "t", "key": key, "payload": json.dumps({"v": i} | ({"end": end} if end else {}))})
+    (folder / "0.json").write_text("\n".join([put(i, i, f"k{i % 300}", 2000 if i == 601 else None) for i in range(1, 602)]))
+    got = []
+
+    def run():
+        rows = events.with_before(events.stream(spark, str(folder)), expires="end", groups=4)
+        query = events.subscribe(rows, lambda df, n: got.extend((r.frame_id, r.op, r.key, r.before and json.loads(r.before)["v"]) for r in df.collect()), str(tmp_path / "cp"), once=True)
+        query.awaitTermination(120)
+        return query
+
+    assert run().lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    assert sorted(x[0] for x in got) == list(range(1, 602))
+    assert {x[0]: x[3] for x in got} == {i: i - 300 if i > 300 else None for i in range(1, 602)}
+    # every group has frames while the record of k1 ends: they do not put off its end
+    for n, ts in ((1, 3000), (2, 4000)):
+        (folder / f"{n}.json").write_text("\n".join(put(1000 * n + i, ts, f"k{i}") for i in range(2, 300)))
+        run()
+    assert [x for x in got if x[1] == "EXPIRE"] == [(None, "EXPIRE", "k1", 601)]
+    assert {x[0]: x[3] for x in got if x[0] and x[0] > 2000} == {2000 + i: 1000 + i for i in range(2, 300)}
+
+
 def test_a_table_bound_to_a_schema(frame):
     schema = constraints.Schema((constraints.Field("id", "INTEGER"), constraints.Field("name", "TEXT", False), constraints.Field("note", "TEXT", default="n")), "id", (("name",),))
     kind = "id long, name string, note string"
