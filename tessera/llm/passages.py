@@ -1,23 +1,27 @@
 """Substring dedup by compact windows.
 
-The tokens of a text are its five-word shingles. For a hash function, a compact window (c, l, r) says that the token at c
-has the smallest value from l to r and not beyond: every stretch within [l, r] that holds c has the same min-hash. The
-windows are the nodes of the Cartesian tree of a text's values; those of fewer than ``LENGTH`` tokens hold no stretch that
-long and are left out, which leaves about 2 n / LENGTH of n. They are found without a tree walk: minima of sliding
+The tokens of a text are its runs of ``TOKEN`` words. For a hash function, a compact window (c, l, r) says that the token at
+c has the smallest value from l to r and not beyond: every stretch within [l, r] that holds c has the same min-hash. The
+windows are the nodes of the Cartesian tree of a text's values; those of fewer tokens than a ``seed`` has hold no stretch
+that long and are left out, which leaves about one for nine words. They are found without a tree walk: minima of sliding
 stretches name the centres, and doubling tables of minima give each one's l and r, for many texts at once.
 
-Two stretches alike have, for each of ``HASHES`` functions with a probability of their similarity, windows with the same
-token; stretches of equal words have them for every function. Windows are joined on (function, token) with one of the
-group, the first in the order of a hash of id and text, so a token that a third of all texts share costs one pair a text. Words around the
+Two stretches of at least ``WORDS`` words whose five-word shingles have a Jaccard similarity of ``THRESHOLD`` differ in few
+places, so they have a run of ``seed`` equal words (25 of 50 at 0.8), and windows with the token of least value in it: one
+function is enough, and nothing depends on chance. Windows are joined on the token with one of the group, the first in the
+order of a hash of id and text, so a token that a third of all texts share costs one pair a text. Words around the
 token meet there and are compared over all shifts: the maximal stretches of at least ``WORDS`` words whose shingles have a
 Jaccard similarity of ``THRESHOLD`` are the result. Their lengths may differ.
 
-The first of a group may have the token only, and not the passage that others share. So, for the first ``FOLLOWED``
-functions, every other one says where its words leave the first's, to the right and to the left of the token, and those that leave with the same words make a group
-of the next round, with more words in common and a first of their own. Rounds go on until no group has two places. No
+The first of a group may have the token only, and not the passage that others share. So every other one says where its words
+leave the first's, to the right and to the left of the token, and those that leave with the same words make a group
+of the next round, with more words in common and a first of their own. Rounds go on until no group has two places, or all
+of a group were found alike the text that they left, which links them. No
 passage of equal words is lost this way: while neither of two places that share one is the first, they leave the first
-together, or not at all within the passage, and then both are alike it. Work stays linear: a place is in two groups at
-most for each that it was in.
+together, or not at all within the passage, and then both are alike it. Two places that are alike, but not equal, may both
+have the whole run that they share in common with a first that neither is alike. So a place that has a seed in common with
+the first, and no passage, also makes groups with each other place of the token that has what they lack in common near it
+(``beyond``). Work stays linear: a place is in two groups at most for each that it was in, and in those shingles' once.
 
 A text that stands for over ``PART`` places is dealt to several tasks, each with a copy of its words.
 """
@@ -35,15 +39,30 @@ from pyspark.sql import functions as F
 from tessera.llm import words as W
 from tessera.llm.scratch import dropped, released, written
 
-WORDS, SHINGLE, THRESHOLD, HASHES, PART = 50, 5, 0.8, 3, 512
+WORDS, SHINGLE, THRESHOLD, PART = 50, 5, 0.8, 512
 LENGTH = WORDS - SHINGLE + 1
-#: Functions whose places are followed from round to round. One is enough for passages of equal words.
-FOLLOWED = 1
+#: Words of a token. The fewer, the more texts share one by chance; the more, the more windows hold a seed.
+TOKEN = 8
+#: Marks of a place, beside the words known to be equal: found alike, and met by a shingle beyond a common run.
+_SETTLED, _BEYOND = 1 << 62, 1 << 61
 #: Bytes of a word's hash that are sent and compared: a difference passes for none once in 10^12.
 SENT = 5
 _BASE = 0x9E3779B97F4A7C15
 
 
+def seed(words: int = WORDS, threshold: float = THRESHOLD) -> int:
+    """Equal words in a row that two alike stretches of at least ``words`` words have, whatever differs between them.
+
+    A word put in, left out or replaced costs four shingles of one side and five of the other at least, unless words repeat
+    at once. So p shingles have few such places, and the longest run between them is no shorter than the mean.
+    """
+    least = words
+    for p in range(max(1, words - SHINGLE + 1), 8 * words):
+        breaks = int(p * (1 - threshold) / (SHINGLE - 1 + SHINGLE * threshold) + 1e-9)
+        least = min(least, -(-(p - (SHINGLE - 1) * breaks) // (breaks + 1)) + SHINGLE - 1)
+    return least
+
+
 def compact_windows(values: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centres, first and last places (in ``values``) of the compact windows of at least ``length`` values; texts lie between ``bounds``.
 
@@ -196,45 +215,45 @@ class Ranges:
         return W.mix((self.sums[last] - self.sums[first]) * self.down[first] + (last - first).astype(np.uint64))
 
 
-def _windows(rows: DataFrame, length: int, hashes: int) -> DataFrame:
-    """Rows (key, row, kind, w) of all compact windows; key is the hash of the token and the hash function.
+def _windows(rows: DataFrame, length: int, words: int) -> DataFrame:
+    """Rows (key, row, kind, w) of all compact windows of at least ``length`` tokens; key is the hash of the token.
 
-    kind: 0 for the only window of the row with its key, else 1 for the first and 2 for the others. w: the centre, the hash
-    function, and how far the window reaches to the left and right (65535 at most; longer stretches have more windows) in
-    one number. Of windows of a row with one key whose tokens are equal as far as a passage may reach, one is given: lines
+    kind: 0 for the only window of the row with its key, else 1 for the first and 2 for the others. w: the centre, and how
+    far the window reaches to the left and right (65535 at most; longer stretches have more windows) in one number. Of
+    windows of a row with one key whose words are equal as far as a passage of ``words`` may reach, one is given: lines
     that repeat many times would make many windows that say the same.
     """
 
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, "text", 1 << 20):
-                words, bounds = W.word_hashes(part.column("text").to_pylist())
-                tokens, ends = W.shingles(words, bounds, SHINGLE)
-                row, around = part.column("row").to_numpy(), None
-                for h in range(hashes):
-                    values = W.mix(tokens ^ np.uint64(_BASE * (h + 1) & W._MASK))
-                    c, left, right = compact_windows(values, ends, length)
-                    if not len(c):
-                        continue
-                    text = np.searchsorted(ends, c, "right") - 1
-                    key = values[c]
-                    order = np.lexsort((c, key, text))
-                    c, left, right, text, key = c[order], left[order], right[order], text[order], key[order]
+                hashed, bounds = W.word_hashes(part.column("text").to_pylist())
+                tokens, ends = W.shingles(hashed, bounds, TOKEN)
+                row = part.column("row").to_numpy()
+                key = W.mix(tokens ^ np.uint64(_BASE))
+                c, left, right = compact_windows(key, ends, length)
+                if not len(c):
+                    continue
+                text, key = np.searchsorted(ends, c, "right") - 1, key[c]
+                long = np.diff(bounds)[text] >= words  # shorter texts have no passage
+                c, left, right, text, key = c[long], left[long], right[long], text[long], key[long]
+                order = np.lexsort((c, key, text))
+                c, left, right, text, key = c[order], left[order], right[order], text[order], key[order]
+                again = np.concatenate(([False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])))
+                if again.any():
+                    around = Ranges(tokens)
+                    low, high = np.maximum(c - 2 * words, ends[text]), np.minimum(c + 2 * words, ends[text + 1])
+                    context = W.mix(around(low, high) + (c - low).astype(np.uint64))
+                    context = np.where(again | np.append(again[1:], False), context, 0)
+                    order = np.lexsort((c, context, key, text))
+                    same = (context[order[1:]] == context[order[:-1]]) & (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                    keep = np.ones(len(c), bool)
+                    keep[order[1:][same]] = False
+                    c, left, right, text, key = c[keep], left[keep], right[keep], text[keep], key[keep]
                     again = np.concatenate(([False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])))
-                    if again.any():
-                        around = around or Ranges(tokens)
-                        low, high = np.maximum(c - length + 1, ends[text]), np.minimum(c + length, ends[text + 1])
-                        context = W.mix(around(low, high) + (c - low).astype(np.uint64))
-                        context = np.where(again | np.append(again[1:], False), context, 0)
-                        order = np.lexsort((c, context, key, text))
-                        same = (context[order[1:]] == context[order[:-1]]) & (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-                        keep = np.ones(len(c), bool)
-                        keep[order[1:][same]] = False
-                        c, left, right, text, key = c[keep], left[keep], right[keep], text[keep], key[keep]
-                        again = np.concatenate(([False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])))
-                    kind = np.where(again, 2, np.append(again[1:], False)).astype(np.int8)
-                    w = (c - ends[text]) << 34 | h << 32 | np.minimum(c - left, 0xFFFF) << 16 | np.minimum(right - c, 0xFFFF)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(row[text]), pa.array(kind), pa.array(w)], ["key", "row", "kind", "w"])
+                kind = np.where(again, 2, np.append(again[1:], False)).astype(np.int8)
+                w = (c - ends[text]) << 32 | np.minimum(c - left, 0xFFFF) << 16 | np.minimum(right - c, 0xFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(row[text]), pa.array(kind), pa.array(w)], ["key", "row", "kind", "w"])
 
     return rows.mapInArrow(run, "key long, row long, kind byte, w long")
 
@@ -247,37 +266,34 @@ def _right(w: str):
     return F.col(w).bitwiseAND(0xFFFF)
 
 
-def _first_pairs(windows: DataFrame, length: int) -> DataFrame:
+def _first_pairs(windows: DataFrame) -> DataFrame:
     """Rows (row, w, x, rep, rw): every window with the first of those of the same key, but itself. x: no words known to be equal beyond the token."""
     first = windows.where("kind < 2").groupBy("key").agg(F.min("row").alias("rep"), F.min_by("w", "row").alias("rw"), F.max("row").alias("top"), F.max("kind").alias("kind"))
     # joined as a table, so that Spark can split a token of very many texts
     first = written(first.where("top <> rep or kind = 1").select("key", "rep", "rw"), "shared-tokens")
     # the same plan at every size: windows are met by a shuffle
     met = windows.select("key", "row", "w").join(first.hint("merge"), "key").where("row <> rep or w <> rw")
-    # windows that agree on less than three quarters of a passage hold none, and are of use only where places are followed
-    agreed = F.least(_left("w"), _left("rw")) + F.least(_right("w"), _right("rw")) + 1
-    met = met.where((F.shiftright("w", 32).bitwiseAND(3) < FOLLOWED) | (agreed >= -(-3 * length // 4)))
     return met.select("row", "w", F.lit(0).cast("long").alias("x"), "rep", "rw")
 
 
 def _next_pairs(left: DataFrame) -> DataFrame:
-    """The same of the places (key, row, w, x) that left the first of their group, by the words with which they left."""
-    groups = left.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
-    met = written(left.join(groups, "key"), "places")
+    """The same of the places (key, row, w, x) that left the first of their group, by the words with which they left. Groups of places that are all alike that first are linked."""
+    settled = F.shiftright("x", 62).bitwiseAND(1)
+    groups = left.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), F.min(settled).alias("settled")).where("n > 1 and settled = 0").select("key", "rep")
+    met = written(left.withColumn("x", F.col("x").bitwiseAND(_SETTLED - 1)).join(groups, "key"), "places")
     first = met.where("row = rep").groupBy("key").agg(F.min("w").alias("rw"))
     return met.join(first, "key").where("row <> rep or w <> rw").select("row", "w", "x", "rep", "rw").distinct()
 
 
-def _reach(w: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _reach(w: np.ndarray, other: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last token of a window's text that a passage shared with the other window may have.
 
-    A passage lies in both windows. Its two sides differ by a quarter in length at most (similarity 0.8), so it reaches
-    beyond what the windows agree on by a third of that at most.
+    The run of equal words lies in both windows, and the passage goes beyond what they agree on by a third of that, as its
+    sides may differ in length, or by ``words``.
     """
-    left, right = w >> 16 & 0xFFFF, w & 0xFFFF
-    before, after = np.minimum(left, other >> 16 & 0xFFFF), np.minimum(right, other & 0xFFFF)
-    beyond = (before + after + 1) // 3 + 1
-    return (w >> 34) - np.minimum(left, before + beyond), (w >> 34) + np.minimum(right, after + beyond)
+    before, after = np.minimum(w >> 16 & 0xFFFF, other >> 16 & 0xFFFF), np.minimum(w & 0xFFFF, other & 0xFFFF)
+    more = np.maximum((before + after + 1) // 3 + 1, words)
+    return (w >> 32) - before - more, (w >> 32) + after + more
 
 
 def _packed(words: np.ndarray) -> np.ndarray:
@@ -399,6 +415,42 @@ def _held(x: np.ndarray, y: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return places[np.isin(x[places], y[table[slot(y)]], kind="sort")]
 
 
+def beyond(words: np.ndarray, at: np.ndarray, same: np.ndarray, pair: np.ndarray, c: np.ndarray, length: int, need: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of the places with a run of ``length`` equal words around their token: for shingles within ``reach`` of the run and not in it, with the token.
+
+    The arguments are those of ``left_behind``. Alike stretches have ``need`` shingles in common. What the run lacks of them
+    is near it and mostly in one piece, so of that many shingles in a row (a power of two, 16 at most) the least is taken:
+    the shorter run takes fewer, and the longer takes them too. Runs of ``need`` shingles are alike as they are.
+    """
+    own = at[pair] + c
+    differs = np.concatenate(([-1], np.flatnonzero(~same), [len(same)]))
+    k = np.searchsorted(differs, own)
+    low, high = np.maximum(differs[k - 1] + 1, at[pair]), np.minimum(differs[k], at[pair + 1])
+    lacks = need - (high - low - SHINGLE + 1)
+    place = np.flatnonzero((low <= own) & (high >= own + TOKEN) & (high - low >= length) & (lacks > 0))
+    shingle = W.mix(_runs_of(words, SHINGLE))
+    if not len(place):
+        return place, np.empty(0, np.uint64)
+    own, low, high = own[place], low[place], high[place]
+    level = np.minimum(np.floor(np.log2(lacks[place])).astype(np.int64), 4)
+    taken = np.zeros((5, len(shingle)), bool)
+    taken[0] = True
+    for n in range(1, min(5, len(shingle).bit_length())):
+        stretches = np.lib.stride_tricks.sliding_window_view(shingle, 1 << n)
+        taken[n, np.argmin(stretches, 1) + np.arange(len(stretches))] = True
+    first = np.maximum(at[pair[place]], low - reach)
+    size = np.clip(np.minimum(at[pair[place] + 1] - SHINGLE + 1, high + reach) - first, 0, None)
+    of, j = np.repeat(np.arange(len(place)), size), _flat(first, size)
+    ok = taken[level[of], j] & ((j < low[of]) | (j + SHINGLE > high[of]))
+    of, j = of[ok], j[ok]
+    token = Ranges(words)(own, own + TOKEN)
+    key = W.mix(shingle[j] ^ W.mix(token + np.uint64(1))[of] ^ (j > own[of]).astype(np.uint64))
+    order = np.lexsort((key, of))  # where words repeat, so do shingles
+    of, key = of[order], key[order]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])))[: len(of)]
+    return place[of[new]], key[new]
+
+
 def left_behind(words: np.ndarray, at: np.ndarray, same: np.ndarray, pair: np.ndarray, c: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
     """Where places leave the text that they were compared with: (place, key, x) to the right and to the left.
 
@@ -407,7 +459,7 @@ def left_behind(words: np.ndarray, at: np.ndarray, same: np.ndarray, pair: np.nd
     the first that is not. Beyond the window there is nothing to say: no passage of this token reaches there.
     """
     own = at[pair] + c
-    low, high = own - (x >> 32), own + SHINGLE - 1 + (x & 0xFFFFFFFF)
+    low, high = own - (x >> 32), own + TOKEN - 1 + (x & 0xFFFFFFFF)
     ok = (low >= at[pair]) & (high < at[pair + 1])
     place = np.flatnonzero(ok)
     pair, own, low, high, w, x = pair[ok], own[ok], low[ok], high[ok], w[ok], x[ok]
@@ -415,16 +467,16 @@ def left_behind(words: np.ndarray, at: np.ndarray, same: np.ndarray, pair: np.nd
     k = np.searchsorted(differs, low)
     hashed = Ranges(words)
     equal = differs[k] > high
-    right = equal & (differs[k] < at[pair + 1]) & (differs[k] - own <= (w & 0xFFFF) + SHINGLE - 1)
+    right = equal & (differs[k] < at[pair + 1]) & (differs[k] - own <= (w & 0xFFFF) + TOKEN - 1)
     left = equal & (differs[k - 1] >= at[pair]) & (own - differs[k - 1] <= (w >> 16 & 0xFFFF))
     d, e = differs[k[right]], differs[k[left] - 1]
     mark = lambda first, last, c: W.mix(hashed(first, last + 1) ^ (c - first).astype(np.uint64))
     keys = np.concatenate((mark(low[right], d, own[right]), mark(e, high[left], own[left])))
-    known = np.concatenate((x[right] >> 32 << 32 | d - own[right] - SHINGLE + 1, own[left] - e << 32 | x[left] & 0xFFFFFFFF))
+    known = np.concatenate((x[right] >> 32 << 32 | d - own[right] - TOKEN + 1, own[left] - e << 32 | x[left] & 0xFFFFFFFF))
     return np.concatenate((place[right], place[left])), keys, known
 
 
-def _cut(batches):
+def _cut(batches, longest: int):
     """Words around the places of each text, for the text that stands for it: sorted rows of a text, then of its places and of what it stands for."""
     before = None  # row, id and words of the text at hand
     for batch in batches:
@@ -448,10 +500,10 @@ def _cut(batches):
             get = lambda c: part.column(c).take(pa.array(need)).to_numpy()  # noqa: B023, E731
             text, rep, place, w, x, rw = which[need], get("rep"), get("part"), get("w"), get("x"), get("rw")
             stands = place < 0
-            low, high = _reach(w, rw)
-            rep_low, rep_high = _reach(rw, w)
+            low, high = _reach(w, rw, longest)
+            rep_low, rep_high = _reach(rw, w, longest)
             low, high = np.where(stands, w, low), np.where(stands, rw, high)
-            shift = np.where(stands, 0, (rw >> 34) - (w >> 34))
+            shift = np.where(stands, 0, (rw >> 32) - (w >> 32))
             order = np.lexsort((w, shift, place, rep, text))
             low, high, rep_low, rep_high, text, rep, place, w, x, shift, stands = (v[order] for v in (low, high, rep_low, rep_high, text, rep, place, w, x, shift, stands))
             new = np.ones(len(text), bool)
@@ -459,14 +511,14 @@ def _cut(batches):
             at = np.flatnonzero(new)
             sizes = np.diff(np.append(at, len(text)))
             low, high, rep_low, rep_high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(rep_low, at), np.maximum.reduceat(rep_high, at)
-            known, goes_on = np.stack((w, x), 1), ~stands & ((w >> 32 & 3) < FOLLOWED)
+            known, goes_on = np.stack((w, x), 1), ~stands & (x < _BEYOND)
             sizes_sent = np.add.reduceat(goes_on, at, dtype=np.int64)
             # a text that stands for many goes to each of their parts
             parts = np.where(stands[at], -place[at], 1)
             group = np.repeat(np.arange(len(at)), parts)
             copy = np.arange(len(group)) - np.repeat(np.cumsum(parts) - parts, parts)
             text, low, high = text[at][group], np.maximum(low[group], 0), high[group]
-            size = np.clip(np.minimum(high + SHINGLE, np.diff(bounds)[text]) - low, 0, None)
+            size = np.clip(np.minimum(high + TOKEN, np.diff(bounds)[text]) - low, 0, None)
             where = np.where(stands[at][group], copy, place[at][group])
             begin = 0
             while begin < len(group):
@@ -489,6 +541,7 @@ def _cut(batches):
 def _judged(batches, words: int, threshold: float):
     """Of words sorted by the text that stands for others: the alike stretches (key null), and the places that leave it (id null)."""
     names = ["id", "start", "n_words", "rep_id", "rep_start", "rep_n_words", "similarity", "key", "row", "w", "x"]
+    length, need = seed(words, threshold), int(np.ceil(2 * threshold / (1 + threshold) * (words - SHINGLE + 1) - 1e-9))
     before = None  # rep, part, id, first word and words of the text that stands for the others
     for batch in batches:
         if not batch.num_rows:
@@ -519,10 +572,13 @@ def _judged(batches, words: int, threshold: float):
             p = pairs[at:end]
             s = which[p]
             low = np.clip(rep_low[p] - s_first[s], 0, s_size[s])
-            b_size = np.clip(rep_high[p] + SHINGLE - s_first[s], low, s_size[s]) - low
+            b_size = np.clip(rep_high[p] + TOKEN - s_first[s], low, s_size[s]) - low
             rep_first = low + s_first[s]
             within = row[p] == rep[p]
-            found, same = compared(flat, start[p], size[p], s_start[s] + low, b_size, first[p] + shift[p] - rep_first, ~within | (np.abs(shift[p]) >= words), np.cumsum(np.concatenate(([0], (np.diff(row[p]) != 0) | (np.diff(s) != 0)))), first[p], rep_first, words, threshold)
+            group = np.cumsum(np.concatenate(([0], (np.diff(row[p]) != 0) | (np.diff(s) != 0))))
+            found, same = compared(flat, start[p], size[p], s_start[s] + low, b_size, first[p] + shift[p] - rep_first, ~within | (np.abs(shift[p]) >= words), group, first[p], rep_first, words, threshold)
+            # of one text: not a stretch with itself
+            found = [f for f in found if not within[f[0]] or abs(first[p[f[0]]] + f[1] - rep_first[f[0]] - f[3]) >= words]
             if found:
                 k, a, n, b, m, j = (np.array(v) for v in zip(*found, strict=True))
                 nothing = [pa.nulls(len(k), pa.int64())] * 4
@@ -530,31 +586,42 @@ def _judged(batches, words: int, threshold: float):
             of = np.repeat(np.arange(len(p)), [len(v) for v in known[at:end]])
             w, x = np.concatenate([*known[at:end], np.empty((0, 2), np.int64)]).T
             ends = np.concatenate(([0], np.cumsum(size[p])))
-            k, key, x = left_behind(flat[_flat(start[p], size[p])], ends, same, of, (w >> 34) - first[p[of]], w, x)
+            c, around = (w >> 32) - first[p[of]], flat[_flat(start[p], size[p])]
+            # a place in a passage that the same two texts share, at whatever shift, is linked
+            settled, by_group = np.zeros(len(w), bool), group[of]
+            for f in found:
+                here, low = slice(*np.searchsorted(by_group, (group[f[0]], group[f[0]] + 1))), first[p[f[0]]] + f[1]
+                settled[here] |= (w[here] >> 32 >= low) & ((w[here] >> 32) + TOKEN <= low + f[2])
+            k, key, x = left_behind(around, ends, same, of, c, w, x)
+            x = x | np.where(settled[k], _SETTLED, 0)
+            free = np.flatnonzero(~settled)
+            more, more_key = beyond(around, ends, same, of[free], c[free], length, need, words)
+            k, key, x = np.concatenate((k, free[more])), np.concatenate((key, more_key)), np.concatenate((x, np.full(len(more), _BEYOND)))
             if len(k):
                 nothing = [pa.nulls(len(k), t) for t in (kind, pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*nothing, pa.array(key.view(np.int64)), pa.array(row[p[of[k]]]), pa.array(w[k]), pa.array(x)], names)
             at = end
 
 
-def repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, hashes: int = HASHES, part: int = PART) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
     """Pairs of passages that repeat: ``id``, start, n_words, rep_<id>, rep_start, rep_n_words, similarity.
 
     Each is a stretch of at least ``words`` words of the row's text and one of the text that stands for its group (or, at
     another place, of its own text, if the two do not overlap at that shift); starts count words from 0. Every two places
-    that share ``words`` equal words are linked, directly or through the texts that stand for them; stretches that are alike
-    only are found where one of ``hashes`` (1 to 4) functions agrees. Words are compared by 40 bits of a hash. Rows equal in
+    that share ``words`` equal words are linked, directly or through the texts that stand for them; so are stretches that are
+    alike only, as the module says. Words are compared by 40 bits of a hash. Rows equal in
     id and text count as one. Null, empty and shorter texts have none. Null ids are kept. An empty table gives an empty
     result. Other columns are not read.
     """
-    if not 1 <= hashes <= 4:
-        raise ValueError("one to four hash functions")
+    length = seed(words, threshold) - TOKEN + 1
+    if length < 1:
+        raise ValueError(f"alike passages need to have {TOKEN} equal words in a row: more words or a higher threshold")
     kind = docs.schema[id].dataType.simpleString()
     # a number for each row that a second read gives again
     rows = docs.select(F.xxhash64(F.col(id), F.col(text)).alias("row"), F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null")
     if not rows.groupBy("row").count().where("count > 1").isEmpty():
         rows = written(rows.dropDuplicates(["row"]), "distinct-texts")
-    pairs, found, nth = written(_first_pairs(_windows(rows.select("row", "text"), words - SHINGLE + 1, hashes), words - SHINGLE + 1), "pairs"), [], 0
+    pairs, found, nth = written(_first_pairs(_windows(rows.select("row", "text"), length, words)), "pairs"), [], 0
     released(docs.sparkSession)
     while nth == 0 or not pairs.isEmpty():
         judged = written(_round(rows, pairs, kind, words, threshold, part, nth), "judged")
@@ -571,9 +638,8 @@ def repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
 def _round(rows: DataFrame, pairs: DataFrame, kind: str, words: int, threshold: float, part: int, nth: int) -> DataFrame:
     """The pairs' words brought together at the text that stands for each, and judged."""
     before, after = F.least(_left("w"), _left("rw")), F.least(_right("w"), _right("rw"))
-    beyond = F.floor((before + after + 1) / 3) + 1
-    low = F.shiftright("rw", 34) - F.least(_left("rw"), before + beyond)
-    high = F.shiftright("rw", 34) + F.least(_right("rw"), after + beyond)
+    more = F.greatest(F.floor((before + after + 1) / 3) + 1, F.lit(words))
+    low, high = F.shiftright("rw", 32) - before - more, F.shiftright("rw", 32) + after + more
     reps = pairs.groupBy("rep").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts"))
     reps = written(reps, "reps")
     hot = reps.where("parts > 1").select("rep", "parts")
@@ -586,6 +652,7 @@ def _round(rows: DataFrame, pairs: DataFrame, kind: str, words: int, threshold:
         rows = rows.join(asked, "row", "left_semi")
     nothing = {c: F.lit(None).cast(t) for c, t in (("rep", "long"), ("part", "int"), ("w", "long"), ("x", "long"), ("rw", "long"))}
     both = rows.select("row", "id", "text", *(v.alias(c) for c, v in nothing.items())).union(needs.select("row", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), *nothing))
-    sent = both.repartition("row").sortWithinPartitions("row", F.col("text").isNull()).mapInArrow(_cut, f"rep long, part int, other int, row long, id {kind}, shift long, `from` long, rep_from long, rep_to long, words binary, places binary")
+    cut = lambda batches: _cut(batches, words)
+    sent = both.repartition("row").sortWithinPartitions("row", F.col("text").isNull()).mapInArrow(cut, f"rep long, part int, other int, row long, id {kind}, shift long, `from` long, rep_from long, rep_to long, words binary, places binary")
     judge = lambda batches: _judged(batches, words, threshold)
     return sent.repartition("rep", "part").sortWithinPartitions("rep", "part", "other", "row").mapInArrow(judge, f"id {kind}, start long, n_words long, rep_id {kind}, rep_start long, rep_n_words long, similarity double, key long, row long, w long, x long")

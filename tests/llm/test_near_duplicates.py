@@ -286,3 +286,36 @@ def test_recall_of_alike_passages(spark):
     recall = {k: sum(i in got for i in v) / len(v) for k, v in pairs.items()}
     assert min(recall.values()) >= 0.9, recall
     print(recall)
+
+
+def test_no_alike_passage_is_lost_to_chance_or_to_a_shared_line(spark):
+    """Passages alike at just over 0.8, some around a line that 150 other texts have and that ends where they differ."""
+    rng = random.Random(77)
+    some = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    line = some(27)
+    texts = {i: some(40) + line + some(40) for i in range(150)}
+    for i in range(150, 390, 2):
+        own = some(22) if i % 4 else some(100)
+        for k in (i, i + 1):
+            if i % 4:  # 22 words, another one, the line
+                passage = own + some(1) + line
+            else:  # two words of a hundred
+                passage = own[:33] + some(1) + own[34:67] + some(1) + own[68:]
+            texts[k] = some(rng.randrange(40)) + passage + some(rng.randrange(40))
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4), part=16).collect()
+    assert {tuple(sorted((r.doc_id, r.rep_doc_id))) for r in rows} == {(i, i + 1) for i in range(150, 390, 2)}
+
+
+def test_a_seed_is_in_every_alike_pair():
+    rng = random.Random(3)
+    assert passages.seed(50, 0.8) == 25 and passages.seed(50, 1.0) == 50
+    for _ in range(4000):
+        p = [rng.randrange(10**9) for _ in range(rng.randrange(50, 260))]
+        q = list(p)
+        for _ in range(rng.randrange(1, 9)):
+            k, how = rng.randrange(len(q)), rng.choice("sid")
+            q[k : k + (how != "i")] = [] if how == "d" else [rng.randrange(10**9)]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (p, q))
+        if len(q) >= 50 and len(x & y) >= 0.8 * len(x | y):
+            runs = {tuple(q[i : i + 25]) for i in range(len(q) - 24)}
+            assert any(tuple(p[i : i + 25]) in runs for i in range(len(p) - 24))
