@@ -43,6 +43,8 @@ WORDS, SHINGLE, THRESHOLD, PART = 50, 5, 0.8, 512
 LENGTH = WORDS - SHINGLE + 1
 #: Words of a token. The fewer, the more texts share one by chance; the more, the more windows hold a seed.
 TOKEN = 8
+#: Places of a run of one word from one that is looked at to the next; a window tells twice that at most. The kind of a window that is compared within its run.
+REACH, _WITHIN = 1 << 15, 3
 #: Marks of a place, beside the words known to be equal: found alike, and met by a shingle beyond a common run.
 _SETTLED, _BEYOND = 1 << 62, 1 << 61
 #: Bytes of a word's hash that are sent and compared: a difference passes for none once in 10^12.
@@ -215,10 +217,33 @@ class Ranges:
         return W.mix((self.sums[last] - self.sums[first]) * self.down[first] + (last - first).astype(np.uint64))
 
 
+def _ends_of_repeats(words: np.ndarray, bounds: np.ndarray, ends: np.ndarray, least: int, c: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows (c, left, right, text, key, within) without those whose centre is inside a run of one word said again and again.
+
+    A run of n words has a window for nearly each of its n - TOKEN + 1 equal tokens, and each would be compared at a shift
+    of its own. The run's first and last place stand for them, both with the window of the first. For let M be the whole
+    stretch of equal words that two texts have at a shift, and its least token lie in such a run. If the run begins within M
+    in both texts, its first places meet at that shift; if it ends within M in both, its last ones do. Else M is that one
+    word, and the two runs, begun together, are as long as M. A run of 2 * ``least`` words repeats itself: the place
+    ``least`` words on (within) is to be compared with its first.
+    """
+    same = np.concatenate((words[1:] == words[:-1], [False]))[: len(words)]
+    same[bounds[1:-1][bounds[1:-1] > 0] - 1] = False  # not across texts
+    breaks = np.concatenate(([-1], np.flatnonzero(~same)))
+    at = bounds[text] + c - ends[text]
+    k = np.searchsorted(breaks, at)
+    begun, last = at - breaks[k - 1] - 1, breaks[k] - TOKEN + 1 - at  # places since the first, to the last
+    keep = (last < 0) | (begun % REACH == 0)
+    more, long = keep & (last > 0) & (begun == 0), keep & (last + TOKEN >= 2 * least)
+    put = lambda *v: np.concatenate([u[m] for u, m in zip(v, (keep, more, long), strict=True)])
+    return put(c, c + last, c + least), *(put(v, v, v) for v in (left, right, text, key)), np.repeat([False, True], [keep.sum() + more.sum(), long.sum()])
+
+
 def _windows(rows: DataFrame, length: int, words: int) -> DataFrame:
     """Rows (key, row, kind, w) of all compact windows of at least ``length`` tokens; key is the hash of the token.
 
-    kind: 0 for the only window of the row with its key, else 1 for the first and 2 for the others. w: the centre, and how
+    kind: 0 for the only window of the row with its key, else 1 for the first and 2 for the others; 3 for one that is to be
+    compared with that ``words`` words before it in the same row, and no other. w: the centre, and how
     far the window reaches to the left and right (65535 at most; longer stretches have more windows) in one number. Of
     windows of a row with one key whose words are equal as far as a passage of ``words`` may reach, one is given: lines
     that repeat many times would make many windows that say the same.
@@ -236,7 +261,9 @@ def _windows(rows: DataFrame, length: int, words: int) -> DataFrame:
                     continue
                 text, key = np.searchsorted(ends, c, "right") - 1, key[c]
                 long = np.diff(bounds)[text] >= words  # shorter texts have no passage
-                c, left, right, text, key = c[long], left[long], right[long], text[long], key[long]
+                c, left, right, text, key, within = _ends_of_repeats(hashed, bounds, ends, words, *(v[long] for v in (c, left, right, text, key)))
+                whole = [v[within] for v in (c, left, right, text, key)]
+                c, left, right, text, key = (v[~within] for v in (c, left, right, text, key))
                 order = np.lexsort((c, key, text))
                 c, left, right, text, key = c[order], left[order], right[order], text[order], key[order]
                 again = np.concatenate(([False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])))
@@ -251,7 +278,8 @@ def _windows(rows: DataFrame, length: int, words: int) -> DataFrame:
                     keep[order[1:][same]] = False
                     c, left, right, text, key = c[keep], left[keep], right[keep], text[keep], key[keep]
                     again = np.concatenate(([False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])))
-                kind = np.where(again, 2, np.append(again[1:], False)).astype(np.int8)
+                kind = np.concatenate((np.where(again, 2, np.append(again[1:], False)), np.full(len(whole[0]), _WITHIN))).astype(np.int8)
+                c, left, right, text, key = map(np.concatenate, zip((c, left, right, text, key), whole, strict=True))
                 w = (c - ends[text]) << 32 | np.minimum(c - left, 0xFFFF) << 16 | np.minimum(right - c, 0xFFFF)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(row[text]), pa.array(kind), pa.array(w)], ["key", "row", "kind", "w"])
 
@@ -266,14 +294,16 @@ def _right(w: str):
     return F.col(w).bitwiseAND(0xFFFF)
 
 
-def _first_pairs(windows: DataFrame) -> DataFrame:
+def _first_pairs(windows: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows (row, w, x, rep, rw): every window with the first of those of the same key, but itself. x: no words known to be equal beyond the token."""
     first = windows.where("kind < 2").groupBy("key").agg(F.min("row").alias("rep"), F.min_by("w", "row").alias("rw"), F.max("row").alias("top"), F.max("kind").alias("kind"))
     # joined as a table, so that Spark can split a token of very many texts
     first = written(first.where("top <> rep or kind = 1").select("key", "rep", "rw"), "shared-tokens")
     # the same plan at every size: windows are met by a shuffle
-    met = windows.select("key", "row", "w").join(first.hint("merge"), "key").where("row <> rep or w <> rw")
-    return met.select("row", "w", F.lit(0).cast("long").alias("x"), "rep", "rw")
+    met = windows.join(first.hint("merge"), "key", "left").where(f"kind = {_WITHIN} or row <> rep or w <> rw")
+    before = F.shiftleft(F.shiftright("w", 32) - words, 32) + F.shiftleft(_left("w") - words, 16) + F.least(_right("w") + words, F.lit(0xFFFF))
+    within = F.col("kind") == _WITHIN
+    return met.select("row", "w", F.lit(0).cast("long").alias("x"), F.when(within, F.col("row")).otherwise(F.col("rep")).alias("rep"), F.when(within, before).otherwise(F.col("rw")).alias("rw"))
 
 
 def _next_pairs(left: DataFrame) -> DataFrame:
@@ -319,13 +349,14 @@ def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
-def compared(flat: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, shift: np.ndarray, wanted: np.ndarray, group: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, least: int = WORDS, threshold: float = THRESHOLD):
+def compared(flat: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, shift: np.ndarray, wanted: np.ndarray, group: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, least: int = WORDS, threshold: float = THRESHOLD, within: np.ndarray | None = None):
     """Many pairs of word sequences, cut out of ``flat``, at once.
 
     Gives the alike stretches as a list of (pair, start in a, words, start in b, words, similarity), for the pairs
     ``wanted``, and for each word of all the a's whether it equals the one ``shift`` on. Pairs whose only equal shingles are
     one run, or too few, are done with for all pairs together; the rest are chained one by one. Pairs of a ``group`` are of
     the same two texts, at the words ``a_first`` and ``b_first``: what lies in a stretch found at one shift is not tried again.
+    Pairs ``within`` one text: a stretch with itself is none.
     """
     n, need = len(a), threshold * (least - SHINGLE + 1)
     pair, b_pair = np.repeat(np.arange(n), a_size), np.repeat(np.arange(n), b_size)
@@ -393,6 +424,8 @@ def compared(flat: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray,
         if len(u) and any(f <= left + u[0] and left + u[-1] + w[-1] + SHINGLE - 1 <= f + m and g <= low + u[0] + shift[k] and low + u[-1] + w[-1] + shift[k] + SHINGLE - 1 <= g + o for f, m, g, o in known):
             continue
         new = alike(p, q, int(shift[k]), least, threshold)
+        if within is not None and within[k]:
+            new = [f for f in new if abs(left + f[0] - low - f[2]) >= least]
         known += [(left + f, m, low + g, o) for f, m, g, o, _ in new]
         found += [(k, *f) for f in new]
     return found, same
@@ -576,7 +609,7 @@ def _judged(batches, words: int, threshold: float):
             rep_first = low + s_first[s]
             within = row[p] == rep[p]
             group = np.cumsum(np.concatenate(([0], (np.diff(row[p]) != 0) | (np.diff(s) != 0))))
-            found, same = compared(flat, start[p], size[p], s_start[s] + low, b_size, first[p] + shift[p] - rep_first, ~within | (np.abs(shift[p]) >= words), group, first[p], rep_first, words, threshold)
+            found, same = compared(flat, start[p], size[p], s_start[s] + low, b_size, first[p] + shift[p] - rep_first, ~within | (np.abs(shift[p]) >= words), group, first[p], rep_first, words, threshold, within)
             # of one text: not a stretch with itself
             found = [f for f in found if not within[f[0]] or abs(first[p[f[0]]] + f[1] - rep_first[f[0]] - f[3]) >= words]
             if found:
@@ -621,7 +654,7 @@ def repeated_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     rows = docs.select(F.xxhash64(F.col(id), F.col(text)).alias("row"), F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null")
     if not rows.groupBy("row").count().where("count > 1").isEmpty():
         rows = written(rows.dropDuplicates(["row"]), "distinct-texts")
-    pairs, found, nth = written(_first_pairs(_windows(rows.select("row", "text"), length, words)), "pairs"), [], 0
+    pairs, found, nth = written(_first_pairs(_windows(rows.select("row", "text"), length, words), words), "pairs"), [], 0
     released(docs.sparkSession)
     while nth == 0 or not pairs.isEmpty():
         judged = written(_round(rows, pairs, kind, words, threshold, part, nth), "judged")

@@ -319,3 +319,13 @@ def test_a_seed_is_in_every_alike_pair():
         if len(q) >= 50 and len(x & y) >= 0.8 * len(x | y):
             runs = {tuple(q[i : i + 25]) for i in range(len(q) - 24)}
             assert any(tuple(p[i : i + 25]) in runs for i in range(len(p) - 24))
+
+
+def test_a_word_said_again_and_again_has_few_places(spark):
+    run = ["again"] * 300
+    texts = {i: [f"a{i}x{k}" for k in range(30)] + run[: 300 - 60 * i] + [f"b{i}x{k}" for k in range(30)] for i in range(3)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "row long, text string")
+    key = passages._windows(df, 18, 50).groupBy("row", "key").count().agg({"count": "max"}).first()[0]
+    assert key <= 3  # first and last, and the place that is compared within the run
+    rows = passages.repeated_passages(df.withColumnRenamed("row", "doc_id")).collect()
+    assert {(r.doc_id, r.rep_doc_id) for r in rows} >= {(0, 0), (1, 1), (2, 2)} and len({links(rows)(i) for i in texts}) == 1
